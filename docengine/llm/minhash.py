@@ -2,10 +2,8 @@
 
 Each distinct shingle is hashed once; the top bits of the hash choose its bin, and a bin keeps its least hash. An empty bin
 copies the bin that a fixed pseudo-random sequence of its own reaches first among the filled ones. Bands of bins make bucket
-keys. Documents with equal shingle sets collapse into one node before bucketing. Every bucket proposes a star (its members
-against one pseudo-randomly chosen centre), candidates are confirmed on full shingle sets, and buckets whose members already
-lie in one component need no more work. What stays open after a few stars is compared across components, pair by pair, so
-that no link that the bands can see is lost and no cap is needed.
+keys. Documents with equal shingle sets collapse into one node before bucketing. Buckets propose
+stars, and candidates are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,17 +14,16 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.common import bounded_batches, materialize, shingle_hashes, split_words
-from docengine.llm.components import connected_components
+from docengine.llm.stars import linked_classes, shared_buckets
 
 BIN_BITS = 7
 BANDS = 32
 SHINGLE_WORDS = 5
 PERCENT = 80
-STAR_ROUNDS = 4
 CHUNK = 128
 
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_hash binary, keys array<long>"
@@ -114,45 +111,6 @@ def confirm_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long")
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n): members of buckets with two nodes or more."""
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    return materialize(rows.join(shared, "key"), "buckets")
-
-
-def _alike(n: Column, m: Column, percent: int) -> Column:
-    """Sizes that allow the similarity."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-
-def _open_rows(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
-    """(key, node, n, comp) of buckets whose members lie in several components."""
-    if components is None:
-        rows = buckets.withColumn("comp", F.col("node"))
-    else:
-        rows = buckets.join(components, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    still = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return materialize(rows.join(still, "key"), "open")
-
-
-def _star(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", F.col("n").alias("m"), F.col("comp").alias("c"))
-    centres = rows.groupBy("key").agg(F.min(order).alias("z"))
-    return rows.join(centres, "key").where((F.col("comp") != F.col("z.c")) & _alike(F.col("n"), F.col("z.m"), percent)).select(F.col("z.node").alias("a"), F.col("node").alias("b")).distinct()
-
-
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    other = rows.select("key", F.col("node").alias("o"), F.col("n").alias("m"), F.col("comp").alias("c"))
-    return rows.join(other, "key").where((F.col("node") < F.col("o")) & (F.col("comp") != F.col("c")) & _alike(F.col("n"), F.col("m"), percent)).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct()
-
-
-def _n_across(rows: DataFrame) -> int:
-    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    whole = parts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
-    return int(whole.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0] or 0)
-
-
 def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, bin_bits: int = BIN_BITS, bands: int = BANDS) -> DataFrame:
     """One row for each row of documents (doc_id long, text string; other columns are ignored).
 
@@ -168,27 +126,11 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
     rows = materialize(texts.mapInArrow(partial(_signatures, k=k, bin_bits=bin_bits, bands=bands), SIGNATURE_SCHEMA), "signatures")
     sets = rows.where("set_hash is not null and doc_id is not null")
     nodes = sets.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
-    buckets = _buckets(nodes.select("node", "keys", "n"))
+    buckets = shared_buckets(nodes.select("node", "keys", "n"))
     # rows that share an id, but not their texts, tie the classes of their sets together
     owned = sets.select("doc_id", "set_hash").join(nodes.select("set_hash", "node"), "set_hash")
     links = materialize(owned.where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b")), "links")
-    tested, components = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        still = _open_rows(buckets, components)
-        n = still.count()
-        if not n:
-            break
-        last = turn == STAR_ROUNDS or turn > 0 and _n_across(still) <= 4 * n
-        pairs = _across(still, percent) if last else _star(still, turn, percent)
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tested = both if tested is None else tested.unionByName(both)
-        links = links.unionByName(materialize(confirm_links(pairs, texts, k, percent), "links"))
-        components = connected_components(links, "a", "b")
-        if last:
-            break
-    if components is None:
-        components = connected_components(links, "a", "b")
+    components = linked_classes(buckets, partial(confirm_links, texts=texts, k=k, percent=percent), percent, links)
     classes = nodes.select("set_hash", "node").join(components, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")

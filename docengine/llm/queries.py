@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import chat, embedding_lsh, minhash, mixing, packing, quality, suffix_dedup, token_files
+from docengine.llm import chat, embedding_lsh, licences, media, minhash, mixing, packing, quality, suffix_dedup, token_files
 from docengine.llm.common import scratch
 from docengine.llm.tokens import with_crc32
 
@@ -46,6 +46,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = media.fingerprints(media.render_vectors(_table(spark, sf_dir, "embeddings")))
+    return media.match_recordings(prints).withColumnRenamed("rec_id", "vec_id")
+
+
 def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "tie")
 
@@ -61,11 +66,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "repeated_words", "later_words", ranges.alias("spans"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end=0)
     return with_crc32(token_files.read_token_files(spark, path), "ids", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_minhash_dedup, op3_embedding_dedup, op4_chat, op6_cube_mixing, op7_packing, op8_suffix_dedup, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_minhash_dedup, op3_embedding_dedup, op4_chat, op5_chroma, op6_cube_mixing, op7_packing, op8_suffix_dedup, op9_licences, op10_token_files)}
 ORACLES: dict[str, str] = {}
