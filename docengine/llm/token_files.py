@@ -14,14 +14,16 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import bounded_batches
+from docengine.llm.common import bounded_batches, materialize
 from docengine.llm.tokens import encode_column, list_array
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
+#: Offsets of up to so many files are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_FILES = 500_000
 SCHEMA = "doc_id long, part int, row int, part_start long, n_tokens long, ids array<int>"
 
 
@@ -61,7 +63,9 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end: int,
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all rows before it), n_tokens, ids: the files' rows with their place in the whole stream."""
     rows = spark.read.schema(SCHEMA).parquet(path)
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each file
-    later = parts.select(F.col("part").alias("q"), "n")
-    base = parts.select("part").join(later, F.col("q") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("base"))
+    parts = materialize(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")), "parts")  # one row for each file
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = parts.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    if parts.count() <= BROADCAST_FILES:
+        base = F.broadcast(base)
     return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")

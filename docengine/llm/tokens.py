@@ -1,22 +1,24 @@
 """Whole texts to token ids with a tokenizers file, fast on text whose words recur.
 
 A byte-level or word-level BPE never joins across certain white space, so the pieces between can be encoded apart, and each
-distinct piece once: a bounded dictionary keeps the ids that the library gave for it. Texts that hold characters on which the
-splitting rules could disagree go to the library as a whole.
+distinct piece once: a bounded dictionary keeps the ids that the library gave for it. A piece of plain letters goes to the
+library's model directly. Texts that hold characters on which the splitting rules could disagree go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 
-#: Pieces kept by a worker; the dictionary starts anew beyond it.
-CACHE_PIECES = 300_000
+#: Pieces of a generation; a worker keeps two generations.
+CACHE_PIECES = 400_000
+CACHE_WORDS = 200_000
 
 #: Separators that count as white space in some rules only.
 DOUBTFUL = re.compile("[\x1c-\x1f]")
@@ -24,11 +26,35 @@ DOUBTFUL = re.compile("[\x1c-\x1f]")
 #: A run of white space gives up its last blank to the word that follows.
 BLANK_LED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
+#: A word of plain letters, then marks: both rules split between the two.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*]*)")
+
+#: The printable characters that stand for bytes in a byte-level vocabulary: the printable bytes themselves, then from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
+
+
+class Pieces(dict):
+    """Ids of pieces, computed when first asked for; what the last two generations did not use is forgotten."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.encode, self.limit, self.old = encode, limit, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(piece)
+        self[piece] = ids = self.encode(piece) if ids is None else ids
+        return ids
+
 
 class Encoder:
-    """Texts to bytes of little-endian unsigned 32-bit ids. Strings of special tokens inside a text are ordinary text.
+    """Texts to bytes of little-endian unsigned 32-bit ids, for byte-pair vocabularies over bytes.
 
-    byte_level: white space is part of the ids (byte-level BPE); else it only separates words.
+    byte_level: white space is part of the ids; else it only separates words, which are lower-cased. Strings of special
+    tokens inside a text are ordinary text.
     """
 
     def __init__(self, path: str, byte_level: bool):
@@ -37,31 +63,30 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.byte_level = self.tokenizer.model, byte_level
         self.split = BLANK_LED.findall if byte_level else str.split
-        self.known: dict[str, bytes] = {}
+        self.marks = Pieces(self._library, 10_000)
+        self.words = Pieces(self._word, CACHE_WORDS)
+        self.known = Pieces(self._piece, CACHE_PIECES)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+
+    def _piece(self, piece: str) -> bytes:
+        plain = PLAIN.fullmatch(piece)
+        if not plain:
+            return self._library(piece)
+        word, marks = plain.groups()
+        return self.words[word if self.byte_level else word.lower()] + self.marks[marks]
 
-    def _library(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
-        out: list[bytes] = [b""] * len(texts)
-        plain = []
-        for i, text in enumerate(texts):
-            if text and DOUBTFUL.search(text):
-                out[i] = next(self._library([text]))
-            elif text:
-                plain.append((i, self.split(text)))
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        new = list(set().union(*(pieces for _, pieces in plain)).difference(self.known)) if plain else []
-        for s in range(0, len(new), 4096):
-            self.known.update(zip(new[s : s + 4096], self._library(new[s : s + 4096]), strict=True))
         get = self.known.__getitem__
-        for i, pieces in plain:
-            out[i] = b"".join(map(get, pieces))
-        return out
+        return [b"" if not t else self._library(t) if DOUBTFUL.search(t) else b"".join(map(get, self.split(t))) for t in texts]
 
 
 @lru_cache(2)
