@@ -10,8 +10,9 @@ def parse_selection(spec: Column, count: Column) -> Column:
     """'1,3-5' to distinct 1-based pages in the order given; pages beyond count and empty parts are left out."""
     def part(p: Column) -> Column:
         lo, hi = F.try_element_at(F.split(p, "-"), F.lit(1)).try_cast("long"), F.try_element_at(F.split(p, "-"), F.lit(-1)).try_cast("long")
+        known = lo.isNotNull() & hi.isNotNull()
         lo, hi = F.greatest(lo, F.lit(1)), F.least(hi, count)
-        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(known & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
     return F.array_distinct(F.flatten(F.transform(F.split(F.replace(spec, F.lit(" "), F.lit("")), ","), part)))
 
