@@ -140,6 +140,30 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judge(held, True)
 
 
+RESOLVED_SCHEMA = "extend boolean, key long, a int, b int, later boolean"
+
+
+def _resolve(batches: Iterator[pa.RecordBatch], edges: dict[tuple[int, int], tuple[int, int, int]], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Matched stretches (a, b, whether they occur earlier) and, as extend, first and last window start of those to extend.
+
+    edges: rows at partition edges, first key and first position of each run over an edge.
+    """
+    for batch in batches:
+        c = {k: batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("role", "edge", "first", "whole", "key", "p", "before", "after", "first_key", "first_p")}
+        lead_key, lead_p, repeated = c["first_key"].copy(), c["first_p"].copy(), c["role"] == ROLE_FULL
+        at = np.flatnonzero(c["edge"])
+        if len(at):
+            runs, which = np.unique(np.stack([c["first"][at], c["whole"][at]]), axis=1, return_inverse=True)
+            known = np.array([edges[int(f), int(w)] for f, w in runs.T], np.int64)[which.ravel()]
+            lead_key[at], lead_p[at] = known[:, 1], known[:, 2]
+            repeated[at] = (c["role"][at] == ROLE_EDGE) & (known[:, 0] > 1)
+        extend = c["role"] == ROLE_EXTEND
+        low = np.where(extend, lead_p, c["p"]).astype(np.int32) - c["before"]
+        keep = repeated | extend
+        out = (extend, np.where(extend, lead_key, c["key"]), low, low + c["after"] + np.where(extend, 0, min_words).astype(np.int32), (c["key"] != lead_key) | (c["p"] != lead_p))
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (out[0], out[1], out[2].astype(np.int32), out[3].astype(np.int32), out[4])], names=[x.split()[0] for x in RESOLVED_SCHEMA.split(", ")])
+
+
 def _windows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """(key, text, stretches) to (fingerprint, key, start) of each window of the stretches."""
     for batch in batches:
@@ -188,19 +212,12 @@ def _find(keyed: DataFrame, min_words: int, k: int, reach: int) -> DataFrame:
     order = ["first", "whole", "key", "p"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seen = materialize(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, NEIGHBOUR_SCHEMA), "neighbours")
-    # runs over partition edges: two for each partition at most
-    edges = seen.where(F.col("role") == ROLE_EDGE).groupBy("first", "whole").agg(F.count("*").alias("n"), F.min(F.struct("first_key", "first_p")).alias("lead"))
-    edges = F.broadcast(materialize(edges, "edges"))
-    over = seen.where(F.col("role") == ROLE_EDGE).join(edges.where("n > 1"), ["first", "whole"]).withColumns({"first_key": F.col("lead.first_key"), "first_p": F.col("lead.first_p")})
-    full = seen.where(F.col("role") == ROLE_FULL).select("key", "p", "before", "after", "first_key", "first_p").unionByName(over.select("key", "p", "before", "after", "first_key", "first_p"))
-    low = F.col("p") - F.col("before")
-    later = (F.col("key") != F.col("first_key")) | (F.col("p") != F.col("first_p"))
-    whole = full.select("key", low.alias("a"), (low + F.col("after") + min_words).alias("b"), later.alias("later"))
-
-    extend = seen.where(F.col("role") == ROLE_EXTEND).join(edges, ["first", "whole"], "left")
-    lead = F.when(F.col("edge") & F.col("lead").isNotNull(), F.col("lead")).otherwise(F.struct("first_key", "first_p"))
-    leads = extend.withColumn("lead", lead).select(F.col("lead.first_key").alias("key"), (F.col("lead.first_p") - F.col("before")).alias("low"), "after")
-    stretches = leads.groupBy("key").agg(F.collect_set(F.struct("low", (F.col("low") + F.col("after")).alias("high"))).alias("stretches"))
+    # of runs over partition edges alone, two for each partition at most
+    rows = seen.where(F.col("role") == ROLE_EDGE).groupBy("first", "whole").agg(F.count("*").alias("n"), F.min(F.struct("first_key", "first_p")).alias("lead")).collect()
+    edges = {(r["first"], r["whole"]): (r["n"], r["lead"]["first_key"], r["lead"]["first_p"]) for r in rows}
+    resolved = materialize(seen.mapInArrow(partial(_resolve, edges=edges, min_words=min_words), RESOLVED_SCHEMA), "resolved")
+    whole = resolved.where("not extend").select("key", "a", "b", "later")
+    stretches = resolved.where("extend").groupBy("key").agg(F.collect_set(F.struct(F.col("a").alias("low"), F.col("b").alias("high"))).alias("stretches"))
     windows = materialize(texts.dropDuplicates(["key"]).join(stretches, "key").select("key", "text", "stretches").mapInArrow(partial(_windows, min_words=min_words), "window long, key long, low int"), "windows")
     shared = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("key", "low")).alias("lead")).where("n > 1")
     partly = windows.join(shared, "window").select("key", F.col("low").alias("a"), (F.col("low") + min_words).alias("b"), (F.struct("key", "low") != F.col("lead")).alias("later"))
