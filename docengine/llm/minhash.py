@@ -111,6 +111,73 @@ def confirm_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long")
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = times[column] > 1
+    owner, column = owner[twice], column[twice]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [c, c + 4096])
+        held = np.zeros((n, 4096), np.float32)
+        held[owner[lo:hi], column[lo:hi] - c] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def _compare_block(rows: list[tuple[int, int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect the linked nodes of rows (node, component, side, set); pairs within a side have their own block."""
+    rows = [r for r in rows if len(r[3])]
+    if len(rows) < 2:
+        return []
+    node, comp, side = (np.array([r[i] for r in rows]) for i in range(3))
+    both, size = _shared([r[3] for r in rows]), np.array([len(r[3]) for r in rows])
+    linked = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :])
+    if (side != side[0]).any():
+        linked &= side[:, None] != side[None, :]
+    root, edges = dict(zip(node.tolist(), node.tolist(), strict=True)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x] = root[root[x]]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+        a, b = find(int(node[i])), find(int(node[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            edges.append((int(node[i]), int(node[j])))
+    return edges
+
+
+def _confirm_blocks(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, lo, hi, side, node, comp, text), a block's rows together."""
+    block, rows = None, []
+    for batch in batches:
+        edges = []
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        for i, (*name, side, node, comp) in enumerate(zip(*columns, strict=True)):
+            if name != block:
+                edges += _compare_block(rows, percent)
+                block, rows = name, []
+            rows.append((node, comp, side, shingle_hashes(split_words((batch.column(6)[i].as_py() or b"").lower()), k)))
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in range(2)], names=["a", "b"])
+    edges = _compare_block(rows, percent)
+    yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
+def confirm_in_blocks(blocks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what links within each block (cluster, lo, hi, side, node, comp)."""
+    rows = blocks.join(texts, F.col("node") == F.col("doc_id")).select("cluster", "lo", "hi", "side", "node", "comp", "text")
+    key = ["cluster", "lo", "hi"]
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(partial(_confirm_blocks, k=k, percent=percent), "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, bin_bits: int = BIN_BITS, bands: int = BANDS) -> DataFrame:
     """One row for each row of documents (doc_id long, text string; other columns are ignored).
 
@@ -130,7 +197,7 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
     # rows that share an id, but not their texts, tie the classes of their sets together
     owned = sets.select("doc_id", "set_hash").join(nodes.select("set_hash", "node"), "set_hash")
     links = materialize(owned.where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b")), "links")
-    components = linked_classes(buckets, partial(confirm_links, texts=texts, k=k, percent=percent), percent, links)
+    components = linked_classes(buckets, partial(confirm_links, texts=texts, k=k, percent=percent), percent, links, partial(confirm_in_blocks, texts=texts, k=k, percent=percent))
     classes = nodes.select("set_hash", "node").join(components, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")

@@ -1,8 +1,9 @@
 """Classes of linked nodes from buckets, by star-shaped candidates.
 
 Every bucket proposes a star: its members against one pseudo-randomly chosen centre. Candidates are confirmed by the caller's
-exact comparison, and buckets whose members already lie in one component need no more work. What stays open after a few stars
-is compared across components, pair by pair, so no link that the buckets can see is lost and no cap is needed.
+exact comparison, and buckets whose members already lie in one component need no more work. What stays open is compared
+across components: small buckets pair by pair, crowded ones in square blocks of bounded size. So no link that the buckets can
+see is lost, no cap is needed, and a large group is not written out as pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from docengine.llm.common import materialize
 from docengine.llm.components import connected_components
 
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+#: Open buckets of more members are compared in blocks where the caller can, smaller ones pair by pair.
+CROWD = 32
+BLOCK = 256
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -40,9 +44,18 @@ def _open_rows(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
     return materialize(rows.join(still, "key"), "open")
 
 
-def _star(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", F.col("n").alias("m"), F.col("comp").alias("c"))
-    centres = rows.groupBy("key").agg(F.min(order).alias("z"))
+def _star(rows: DataFrame, used: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of each bucket's centre with its members in other components.
+
+    The centre is the member that meets the most others over all its buckets, as the original of many near copies does; one
+    that was a centre before only comes after the others.
+    """
+    crowd = rows.groupBy("key").agg(F.count("*").alias("crowd"))
+    met = rows.join(crowd, "key").groupBy("node").agg(F.sum("crowd").alias("met"))
+    met = met.withColumn("fresh", F.lit(1)) if used is None else met.join(used.withColumn("old", F.lit(0)), "node", "left").select("node", "met", F.coalesce("old", F.lit(1)).alias("fresh"))
+    rows = rows.join(met, "node")
+    order = F.struct("fresh", "met", F.xxhash64("node").alias("h"), "node", F.col("n").alias("m"), F.col("comp").alias("c"))
+    centres = rows.groupBy("key").agg(F.max(order).alias("z"))
     return rows.join(centres, "key").where((F.col("comp") != F.col("z.c")) & _alike(F.col("n"), F.col("z.m"), percent)).select(F.col("z.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -57,25 +70,45 @@ def _n_across(rows: DataFrame) -> int:
     return int(whole.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0] or 0)
 
 
-def linked_classes(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int = 0, links: DataFrame | None = None) -> DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(cluster, lo, hi, side, node, comp): square blocks of nodes that crowded buckets connect; each pair has one block."""
+    lead = rows.groupBy("key").agg(F.min("node").alias("lead"))
+    clusters = connected_components(rows.join(lead, "key").select("node", "lead").distinct(), "node", "lead").withColumnRenamed("component", "cluster")
+    nodes = materialize(rows.select("node", "comp").distinct().join(clusters, "node", "left").select("node", "comp", F.coalesce("cluster", "node").alias("cluster")), "clusters")
+    sized = nodes.join(nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "cluster")
+    dealt = sized.withColumn("side", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "comp")
+
+
+def linked_classes(
+    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int = 0, links: DataFrame | None = None, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(node, component) as of connected_components(). buckets: key, node, n, where n is a size; links: edges (a, b) known before.
 
     confirm takes candidate pairs (a, b), distinct in either order, and returns those that link. Pairs are proposed only if
-    the smaller n is at least percent per cent of the larger.
+    the smaller n is at least percent per cent of the larger. confirm_blocks takes blocks as of _blocks() and returns edges
+    (a, b) that connect what links there, without writing out pairs.
     """
     if links is None:
         links = buckets.sparkSession.createDataFrame([], "a long, b long")
-    tested, components = None, None
+    tested, components, used = None, None, None
     for turn in range(STAR_ROUNDS + 1):
         still = _open_rows(buckets, components)
         n = still.count()
         if not n:
             break
-        last = turn == STAR_ROUNDS or turn > 0 and _n_across(still) <= 4 * n
-        pairs = _across(still, percent) if last else _star(still, turn, percent)
+        last = turn == STAR_ROUNDS or turn > 0 and (confirm_blocks is not None or _n_across(still) <= 2 * n)
+        if last and confirm_blocks is not None:
+            counted = still.join(still.groupBy("key").agg(F.count("*").alias("crowd")), "key")
+            crowded = materialize(counted.where(F.col("crowd") > CROWD).drop("crowd"), "crowded")
+            links = links.unionByName(materialize(confirm_blocks(_blocks(crowded)), "links"))
+            still = counted.where(F.col("crowd") <= CROWD).drop("crowd")
+        pairs = _across(still, percent) if last else _star(still, used, percent)
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both if tested is None else tested.unionByName(both)
+        centres = pairs.select(F.col("a").alias("node"))
+        used = (centres if used is None else used.unionByName(centres)).distinct()
         links = links.unionByName(materialize(confirm(pairs), "links"))
         components = connected_components(links, "a", "b")
         if last:
