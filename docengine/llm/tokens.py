@@ -64,10 +64,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.byte_level = self.tokenizer.model, byte_level
-        self.split = BLANK_LED.findall if byte_level else str.split
         self.marks = Pieces(self._library, 10_000)
         self.words = Pieces(self._word, CACHE_WORDS)
         self.known = Pieces(self._piece, CACHE_PIECES)
+        self.led = Pieces(self._led, CACHE_PIECES)  # words after a blank
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
@@ -83,10 +83,24 @@ class Encoder:
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
+    def _led(self, word: str) -> bytes:
+        return self._piece(" " + word)
+
+    def _byte_level(self, text: str) -> bytes:
+        blanks, ends = text.count(" "), text.count("\n")
+        if len(text.split()) != blanks + ends + 1:  # other white space than single blanks and line ends between words
+            return b"".join(map(self.known.__getitem__, BLANK_LED.findall(text)))
+        first, led, parts = self.known.__getitem__, self.led.__getitem__, []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            parts.append(first(words[0]) + b"".join(map(led, words[1:])))
+        return self.marks["\n"].join(parts)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
         get = self.known.__getitem__
-        return [b"" if not t else self._library(t) if DOUBTFUL.search(t) else b"".join(map(get, self.split(t))) for t in texts]
+        whole = self._byte_level if self.byte_level else lambda t: b"".join(map(get, t.split()))
+        return [b"" if not t else self._library(t) if DOUBTFUL.search(t) else whole(t) for t in texts]
 
 
 @lru_cache(2)
