@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import chat, embedding_lsh, licences, media, minhash, mixing, packing, quality, suffix_dedup, token_files
+from docengine.llm import chat, embedding_lsh, licences, media, minhash, mixing, oracles, packing, quality, suffix_dedup, token_files
 from docengine.llm.common import scratch
 from docengine.llm.tokens import with_crc32
 
@@ -77,4 +77,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_minhash_dedup, op3_embedding_dedup, op4_chat, op5_chroma, op6_cube_mixing, op7_packing, op8_suffix_dedup, op9_licences, op10_token_files)}
-ORACLES: dict[str, str] = {}
+#: The others train models, sample or tokenize, which SQL cannot express.
+ORACLES: dict[str, str] = {"op2_minhash_dedup": oracles.MINHASH, "op3_embedding_dedup": oracles.EMBEDDING, "op4_chat": oracles.CHAT, "op8_suffix_dedup": oracles.REPEATS}
