@@ -87,13 +87,17 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float] | None:
     """(offset of b in a, share of differing bits over the aligned stretch), or None where no integer is common.
 
-    Ties of the histogram go to the smallest offset.
+    Only offsets count at which half of the shorter recording overlaps. Ties of the histogram go to the smallest offset.
     """
-    common, at, to = np.unique(a), np.argsort(a, kind="stable"), None
+    at = np.argsort(a, kind="stable")
     lo, hi = np.searchsorted(a[at], b, "left"), np.searchsorted(a[at], b, "right")
-    if not len(common) or not (hi > lo).any():
+    if not (hi > lo).any():
         return None
     offsets = np.concatenate([at[x:y] - j for j, (x, y) in enumerate(zip(lo, hi, strict=True)) if y > x])
+    overlap = np.minimum(len(a), offsets + len(b)) - np.maximum(0, offsets)
+    offsets = offsets[2 * overlap >= min(len(a), len(b))]
+    if not len(offsets):
+        return None
     values, votes = np.unique(offsets, return_counts=True)
     to = int(values[votes.argmax()])
     x, y = a[max(0, to) :], b[max(0, -to) :]
@@ -165,6 +169,8 @@ def match_recordings(prints: DataFrame, max_bit_error: float = MAX_BIT_ERROR) ->
 
 RATE = 4000
 NOTE = 256
+#: Range of a melody on either side of 440 Hz: small, so that near vectors sound alike.
+OCTAVES = 0.4
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +178,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pcm = []
         for vector in batch.column(1).to_pylist():
             v = np.array([0.0 if x is None or not np.isfinite(x) else x for x in vector or []])
-            hz = 440.0 * 2 ** np.clip(v / max(np.abs(v).max(initial=0), 1e-9) * 1.5, -1.5, 1.5)
+            hz = 440.0 * 2 ** np.clip(v / max(np.abs(v).max(initial=0), 1e-9) * OCTAVES, -OCTAVES, OCTAVES)
             phase = 2 * np.pi * np.cumsum(np.repeat(hz, NOTE)) / RATE
             pcm.append((np.sin(phase) * 12000).astype("<i2").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pcm, pa.binary()), pa.array(np.full(len(pcm), RATE, np.int32))], names=["rec_id", "pcm", "rate"])
