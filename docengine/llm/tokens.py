@@ -28,10 +28,12 @@ BLANK_LED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 #: A word of plain letters, then marks: both rules split between the two.
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*]*)")
+MARKS = ".,!?;:%&$#*"
 
 #: The printable characters that stand for bytes in a byte-level vocabulary: the printable bytes themselves, then from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
+BLANK = chr(BYTE_CHARS[32])
 
 
 class Pieces(dict):
@@ -64,8 +66,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.byte_level = self.tokenizer.model, byte_level
+        self.id_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.marks = Pieces(self._library, 10_000)
         self.words = Pieces(self._word, CACHE_WORDS)
+        self.led_words = Pieces(self._led_word, CACHE_WORDS)
         self.known = Pieces(self._piece, CACHE_PIECES)
         self.led = Pieces(self._led, CACHE_PIECES)  # words after a blank
 
@@ -73,6 +77,9 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
 
     def _piece(self, piece: str) -> bytes:
+        word = piece.rstrip(MARKS)
+        if word.isascii() and word.isalpha():
+            return self.words[word if self.byte_level else word.lower()] + self.marks[piece[len(word) :]]
         plain = PLAIN.fullmatch(piece)
         if not plain:
             return self._library(piece)
@@ -80,11 +87,18 @@ class Encoder:
         return self.words[word if self.byte_level else word.lower()] + self.marks[marks]
 
     def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-
-    def _led(self, word: str) -> bytes:
-        return self._piece(" " + word)
+        if not (word.isascii() and word.isalpha()):  # ASCII letters stand for themselves
+            word = word.encode().decode("latin-1").translate(BYTE_CHARS)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(word)])
+
+    def _led(self, piece: str) -> bytes:
+        word = piece.rstrip(MARKS)
+        if word.isascii() and word.isalpha():
+            return self.led_words[word] + self.marks[piece[len(word) :]]
+        return self._piece(" " + piece)
+
+    def _led_word(self, word: str) -> bytes:
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(BLANK + word)])
 
     def _byte_level(self, text: str) -> bytes:
         blanks, ends = text.count(" "), text.count("\n")
