@@ -10,11 +10,14 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
 #: Rows of an Arrow batch handed to a Python worker that holds whole texts.
 TEXT_BATCH_ROWS = 256
+#: Bits of the filter of may_match(), a sixty-fourth of which are the rows it broadcasts at most.
+FILTER_BITS = 24
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -47,6 +50,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def may_match(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """rows without most of those whose column is not in the equally named column of keys; an equi-join is to follow.
+
+    A Bloom filter of one hash in words of 64 bits. It is broadcast: its size is bounded by FILTER_BITS and not by the data.
+    The fuller it is the fewer rows it drops; it never drops a row that matches.
+    """
+
+    def place(df: DataFrame) -> DataFrame:
+        at = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+        return df.withColumn("__word", F.shiftright(at, 6)).withColumn("__bit", (at % 64).cast("int"))
+
+    words = place(keys.select(column)).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    return place(rows).join(F.broadcast(words), "__word").where(F.getbit("__bits", "__bit") == 1).drop("__word", "__bit", "__bits")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small, in rows and in bytes; results don't depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))

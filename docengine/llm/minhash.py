@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import bounded_batches, materialize, shingle_hashes, split_words
+from docengine.llm.common import bounded_batches, materialize, may_match, shingle_hashes, split_words
 from docengine.llm.stars import linked_classes, shared_buckets
 
 BIN_BITS = 7
@@ -107,7 +107,7 @@ def confirm_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = materialize(pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk")), "pairs")
     wanted = dealt.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("doc_id")).unionByName(dealt.select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("doc_id")).distinct())
-    rows = wanted.join(texts, "doc_id").select("a", "chunk", "role", "doc_id", "text")
+    rows = wanted.join(may_match(texts, "doc_id", wanted), "doc_id").select("a", "chunk", "role", "doc_id", "text")
     return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long")
 
 
@@ -173,7 +173,8 @@ def _confirm_blocks(batches: Iterator[pa.RecordBatch], k: int, percent: int) ->
 
 def confirm_in_blocks(blocks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect what links within each block (cluster, lo, hi, side, node, comp)."""
-    rows = blocks.join(texts, F.col("node") == F.col("doc_id")).select("cluster", "lo", "hi", "side", "node", "comp", "text")
+    blocks = materialize(blocks.withColumnRenamed("node", "doc_id"), "blocks")
+    rows = blocks.join(may_match(texts, "doc_id", blocks), "doc_id").withColumnRenamed("doc_id", "node").select("cluster", "lo", "hi", "side", "node", "comp", "text")
     key = ["cluster", "lo", "hi"]
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(partial(_confirm_blocks, k=k, percent=percent), "a long, b long")
 
@@ -192,7 +193,7 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = materialize(texts.mapInArrow(partial(_signatures, k=k, bin_bits=bin_bits, bands=bands), SIGNATURE_SCHEMA), "signatures")
     sets = rows.where("set_hash is not null and doc_id is not null")
-    nodes = sets.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
+    nodes = materialize(sets.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")), "nodes")
     buckets = shared_buckets(nodes.select("node", "keys", "n"))
     # rows that share an id, but not their texts, tie the classes of their sets together
     owned = sets.select("doc_id", "set_hash").join(nodes.select("set_hash", "node"), "set_hash")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import materialize
+from docengine.llm.common import materialize, may_match
 from docengine.llm.components import connected_components
 
 STAR_ROUNDS = 2
@@ -25,8 +25,8 @@ BLOCK = 256
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """(key, node, n) of nodes (node, n, keys): members of buckets with two nodes or more."""
     rows = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    return materialize(rows.join(shared, "key"), "buckets")
+    shared = materialize(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "shared")
+    return materialize(may_match(rows, "key", shared).join(shared, "key"), "buckets")
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
