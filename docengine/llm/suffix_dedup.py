@@ -156,7 +156,9 @@ def _resolve(batches: Iterator[pa.RecordBatch], edges: dict[tuple[int, int], tup
             runs, which = np.unique(np.stack([c["first"][at], c["whole"][at]]), axis=1, return_inverse=True)
             known = np.array([edges[int(f), int(w)] for f, w in runs.T], np.int64)[which.ravel()]
             lead_key[at], lead_p[at] = known[:, 1], known[:, 2]
-            repeated[at] = (c["role"][at] == ROLE_EDGE) & (known[:, 0] > 1)
+            # a partition's last row may follow rows of its run that are not at the edge
+            follows = (c["key"][at] != known[:, 1]) | (c["p"][at] != known[:, 2])
+            repeated[at] = (c["role"][at] == ROLE_EDGE) & ((known[:, 0] > 1) | follows)
         extend = c["role"] == ROLE_EXTEND
         low = np.where(extend, lead_p, c["p"]).astype(np.int32) - c["before"]
         keep = repeated | extend

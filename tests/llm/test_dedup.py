@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docengine.llm import components, embedding_lsh, minhash, suffix_dedup
@@ -145,6 +146,30 @@ def test_repeats_are_brute_force(spark, docs):
     assert all(flat(got[i].spans) == spans[i] and flat(got[i].later) == later[i] for i in got)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 100])
+def test_runs_are_whole_wherever_partitions_end(batch):
+    runs = [(1, 1, 1), (1, 2, 3), (1, 3, 1), (2, 1, 2), (3, 1, 4)]  # first, whole, rows
+    rows = [(f, w, 10 * f + w, p, 0, 0) for f, w, n in runs for p in range(n)]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16())
+    names = ["first", "whole", "key", "p", "before", "after"]
+
+    def batches(part):
+        for i in range(0, len(part), batch):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part[i : i + batch], strict=True), types, strict=True)], names=names)
+
+    for a in range(len(rows) + 1):
+        for b in range(a, len(rows) + 1):
+            seen = [x for part in (rows[:a], rows[a:b], rows[b:]) for x in suffix_dedup._neighbours(batches(part))]
+            edges = {}
+            for r in (r for x in seen for r in x.to_pylist() if r["role"] == suffix_dedup.ROLE_EDGE):
+                n, *lead = edges.get((r["first"], r["whole"]), (0, 99, 99))
+                edges[r["first"], r["whole"]] = (n + 1, *min(tuple(lead), (r["first_key"], r["first_p"])))
+            found = [r for x in suffix_dedup._resolve(iter(seen), edges, 50) for r in x.to_pylist()]
+            whole = {(r["key"], r["a"], r["later"]) for r in found if not r["extend"]}
+            assert whole == {(10 * f + w, p, p > 0) for f, w, n in runs if n > 1 for p in range(n)}
+            assert {10 * f + w for f, w, _ in runs if f == 1} <= {r["key"] for r in found if r["extend"]}
+
+
 def test_repeats_cut_and_odd_rows(odd, empty):
     got = suffix_dedup.drop_repeats(odd)
     assert got.columns == odd.columns
