@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import bounded_batches, materialize, split_words
+from docengine.llm.common import bounded_batches, materialize, may_match, split_words
 
 MIN_WORDS = 50
 K = 5
@@ -219,8 +219,9 @@ def _find(keyed: DataFrame, min_words: int, k: int, reach: int) -> DataFrame:
     edges = {(r["first"], r["whole"]): (r["n"], r["lead"]["first_key"], r["lead"]["first_p"]) for r in rows}
     resolved = materialize(seen.mapInArrow(partial(_resolve, edges=edges, min_words=min_words), RESOLVED_SCHEMA), "resolved")
     whole = resolved.where("not extend").select("key", "a", "b", "later")
-    stretches = resolved.where("extend").groupBy("key").agg(F.collect_set(F.struct(F.col("a").alias("low"), F.col("b").alias("high"))).alias("stretches"))
-    windows = materialize(texts.dropDuplicates(["key"]).join(stretches, "key").select("key", "text", "stretches").mapInArrow(partial(_windows, min_words=min_words), "window long, key long, low int"), "windows")
+    extend = resolved.where("extend")
+    stretches = extend.groupBy("key").agg(F.collect_set(F.struct(F.col("a").alias("low"), F.col("b").alias("high"))).alias("stretches"))
+    windows = materialize(may_match(texts, "key", extend).dropDuplicates(["key"]).join(stretches, "key").select("key", "text", "stretches").mapInArrow(partial(_windows, min_words=min_words), "window long, key long, low int"), "windows")
     shared = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("key", "low")).alias("lead")).where("n > 1")
     partly = windows.join(shared, "window").select("key", F.col("low").alias("a"), (F.col("low") + min_words).alias("b"), (F.struct("key", "low") != F.col("lead")).alias("later"))
     spans = whole.unionByName(partly).groupBy("key").agg(F.collect_set(F.struct("a", "b", "later")).alias("rows"))
