@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import materialize
+from docengine.llm.common import bounded_batches, materialize
 from docengine.llm.stars import linked_classes, shared_buckets
 
 FRAME, HOP = 1024, 256
@@ -108,7 +108,8 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float] | None:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for pcm, rate in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for held, rate in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            pcm = held.as_py()
             usable = pcm and rate and len(pcm) >= 2
             out.append(fingerprint(np.frombuffer(pcm[: len(pcm) // 2 * 2], "<i2"), rate).view(np.int32) if usable else np.empty(0, np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["rec_id", "codes"])
@@ -119,6 +120,7 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
 
     Null, empty and too short recordings have no codes.
     """
+    bounded_batches(recordings.sparkSession)
     return recordings.select(F.col("rec_id").cast("long").alias("rec_id"), "pcm", F.col("rate").cast("int").alias("rate")).mapInArrow(_prints, "rec_id long, codes array<int>")
 
 
@@ -173,8 +175,12 @@ NOTE = 256
 OCTAVES = 0.4
 
 
+#: Recordings rendered into one batch.
+RENDER_ROWS = 64
+
+
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(i, RENDER_ROWS) for whole in batches for i in range(0, whole.num_rows, RENDER_ROWS)):
         pcm = []
         for vector in batch.column(1).to_pylist():
             v = np.array([0.0 if x is None or not np.isfinite(x) else x for x in vector or []])
