@@ -117,18 +117,38 @@ FROM c WHERE next IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]') AND
 
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", following.alias("next")).where(F.col("next").isNotNull() & ~F.col("text").rlike(ASCII) & ~F.col("next").rlike(ASCII))
-    return rows.withColumn("sim", T.similarity(F.col("text"), F.col("next")))
+    """Each turn with the one after it; sim is null where either text is."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lead("text").over(w).alias("next"), F.lead(F.lit(True)).over(w).alias("followed")).where("followed").drop("followed")
+    return rows.withColumn("sim", F.when(F.col("text").isNotNull() & F.col("next").isNotNull(), T.similarity(F.col("text"), F.col("next"))))
+
+
+def ascii_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that PAIRS compares: DuckDB's levenshtein counts bytes, which are characters in ASCII only."""
+    return turn_pairs(spark, d).where(F.col("sim").isNotNull() & ~F.col("text").rlike(ASCII) & ~F.col("next").rlike(ASCII))
+
+
+def outcomes(pairs: DataFrame) -> DataFrame:
+    return pairs.select("conv_id", "turn", "sim", sweep.classify(F.col("text"), F.col("next"), F.col("sim")).alias("outcome"))
 
 
 @query(PAIRS + " SELECT conv_id, turn, sim, CASE WHEN text = '' AND next = '' THEN 'both-empty' WHEN sim >= 0.98 THEN 'match' WHEN sim >= 0.75 THEN 'near' ELSE 'differs' END AS outcome FROM s")
 def similarity_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return turn_pairs(spark, d).select("conv_id", "turn", "sim", sweep.classify(F.col("text"), F.col("next"), F.col("sim")).alias("outcome"))
+    return outcomes(ascii_turn_pairs(spark, d))
+
+
+@query(None)
+def similarity_outcomes_all(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes(turn_pairs(spark, d))
 
 
 @query(PAIRS + " SELECT turn, count(sim) AS n, CAST(count_if(sim >= 0.75) AS BIGINT) AS at_75, CAST(count_if(sim >= 0.95) AS BIGINT) AS at_95, CAST(count_if(sim >= 0.98) AS BIGINT) AS at_98, CAST(count_if(sim >= 0.99) AS BIGINT) AS at_99 FROM s GROUP BY turn")
 def similarity_bands(spark: SparkSession, d: str) -> DataFrame:
+    return sweep.bands(ascii_turn_pairs(spark, d), ["turn"], "sim")
+
+
+@query(None)
+def similarity_bands_all(spark: SparkSession, d: str) -> DataFrame:
     return sweep.bands(turn_pairs(spark, d), ["turn"], "sim")
 
 
