@@ -3,7 +3,8 @@
 Frames of the signal are folded into twelve pitch classes. An integral image over (frame, pitch class) gives the sums of
 rectangles, from which sixteen filters compare two regions each; every response is quantised to two bits in Gray code and the
 sixteen pairs are packed into one 32-bit integer for each frame. Two recordings align at the offset where the histogram of
-offsets of equal integers peaks, and match if few bits differ over the aligned stretch.
+offsets of equal integers peaks, and match if few bits differ over the aligned stretch. Candidates share two integers as they
+are, or in one of several subsets of their bits, so that copies with bit errors in nearly each integer are found.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ STEP = 0.12
 MAX_BIT_ERROR = 0.2
 #: A bucket key joins the integers of a frame and of the frame this far behind it.
 LAG = 6
+#: Further keys hold so many of the 64 bits of two such integers, in so many random subsets.
+KEPT_BITS, SUBSETS = 52, 4
+SEED = 11
 
 
 @lru_cache(4)
@@ -105,6 +109,22 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float] | None:
     return to, float(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n)
 
 
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    return codes[:-LAG].astype(np.uint64) << np.uint64(32) | codes[LAG:]
+
+
+def matches(a: np.ndarray, b: np.ndarray, found: tuple[int, float] | None, max_bit_error: float = MAX_BIT_ERROR) -> bool:
+    """Whether few enough bits differ where a and b align, as found by align().
+
+    Without two common integers LAG frames apart less may differ the shorter the aligned stretch is: over half of a recording
+    unrelated ones come below MAX_BIT_ERROR by chance, as often as once in a thousand pairs.
+    """
+    if found is None or found[1] > max_bit_error:
+        return False
+    overlap = min(len(a), found[0] + len(b)) - max(0, found[0])
+    return found[1] <= max_bit_error * overlap / min(len(a), len(b)) or bool(np.isin(_pairs(a), _pairs(b)).any())
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -124,22 +144,31 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select(F.col("rec_id").cast("long").alias("rec_id"), "pcm", F.col("rate").cast("int").alias("rate")).mapInArrow(_prints, "rec_id long, codes array<int>")
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _aligned(batches: Iterator[pa.RecordBatch], max_bit_error: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [align(np.array(x, np.int32).view(np.uint32), np.array(y, np.int32).view(np.uint32)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f and f[0] for f in found], pa.int64()), pa.array([f and f[1] for f in found], pa.float64())], names=["a", "b", "offset", "bit_error"])
+        both = [(np.array(x, np.int32).view(np.uint32), np.array(y, np.int32).view(np.uint32)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        found = [align(x, y) for x, y in both]
+        same = [matches(x, y, f, max_bit_error) for (x, y), f in zip(both, found, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f and f[0] for f in found], pa.int64()), pa.array([f and f[1] for f in found], pa.float64()), pa.array(same, pa.bool_())], names=["a", "b", "offset", "bit_error", "same"])
 
 
-def align_pairs(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """pairs (a, b) with offset and bit_error, null where they have no integer in common. prints: rec_id, codes."""
+def align_pairs(pairs: DataFrame, prints: DataFrame, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
+    """pairs (a, b) with offset and bit_error, null where they have no integer in common, and same, as of matches(). prints: rec_id, codes."""
     one = prints.select(F.col("rec_id").alias("a"), F.col("codes").alias("x"))
     two = prints.select(F.col("rec_id").alias("b"), F.col("codes").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_aligned, "a long, b long, offset long, bit_error double")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(partial(_aligned, max_bit_error=max_bit_error), "a long, b long, offset long, bit_error double, same boolean")
+
+
+def _masks() -> list[int]:
+    """Of each subset the bits kept, as a signed 64-bit integer."""
+    rng = np.random.default_rng(SEED)
+    return [int(np.bitwise_or.reduce(np.uint64(1) << rng.permutation(64)[:KEPT_BITS].astype(np.uint64)).astype(np.int64)) for _ in range(SUBSETS)]
 
 
 def _keys(codes: str) -> F.Column:
     later = F.slice(codes, LAG + 1, F.greatest(F.size(codes) - LAG, F.lit(0)))
-    return F.array_distinct(F.zip_with(F.slice(codes, 1, F.greatest(F.size(codes) - LAG, F.lit(0))), later, lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(0xFFFFFFFF))))
+    pairs = F.zip_with(F.slice(codes, 1, F.greatest(F.size(codes) - LAG, F.lit(0))), later, lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(0xFFFFFFFF)))
+    return F.array_distinct(F.flatten(F.transform(pairs, lambda x: F.array(x, *[F.xxhash64(x.bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(_masks())]))))
 
 
 def match_recordings(prints: DataFrame, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
@@ -148,7 +177,8 @@ def match_recordings(prints: DataFrame, max_bit_error: float = MAX_BIT_ERROR) ->
     rec_id, n_codes long, component_id long (smallest rec_id reachable over matches), kept boolean (rec_id = component_id),
     offset long and bit_error double (alignment with that recording; 0 and 0 for itself, null where none is common).
 
-    Recordings match if they share two integers LAG frames apart and at the best offset at most this share of bits differs.
+    Recordings match as of matches(); candidates share two integers LAG frames apart, whole or in a subset of their bits, so
+    few of the matches whose bits differ by up to a sixteenth are lost. Recordings of at most LAG integers match only if equal.
     Equal fingerprints collapse first. Recordings without codes match nothing; rows without rec_id have component_id null and
     kept true; rows that share a rec_id are one node, which the smallest codes stand for.
     """
@@ -159,7 +189,7 @@ def match_recordings(prints: DataFrame, max_bit_error: float = MAX_BIT_ERROR) ->
     shapes = nodes.select(F.col("node").alias("rec_id"), "codes")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return align_pairs(pairs, shapes).where(F.col("bit_error") <= max_bit_error).select("a", "b")
+        return align_pairs(pairs, shapes, max_bit_error).where("same").select("a", "b")
 
     components = linked_classes(buckets, confirm)
     classes = materialize(nodes.join(components, "node", "left").select("codes", "node", F.coalesce("component", "node").alias("component_id")), "classes")
