@@ -48,6 +48,8 @@ SHINGLE = 3
 CONTAINED = 0.6
 VARIATIONS = 60
 SEED = 3
+#: Lines that are blank part paragraphs; single line ends within them are blanks.
+PARAGRAPHS = re.compile(r"\r?\n(?:[^\S\n]*\n)+")
 WORD = re.compile(r"[a-z0-9]+(?:[.'-][a-z0-9]+)*")
 
 
@@ -132,7 +134,7 @@ class Classifier:
     def scan(self, text: str | None) -> list[tuple[str, float, float]]:
         """What each paragraph of text that holds a feature is; long paragraphs are read in overlapping windows."""
         out = []
-        for paragraph in (text or "").split("\n"):
+        for paragraph in PARAGRAPHS.split(text or ""):
             words = words_of(paragraph)
             if self.marks.isdisjoint(words):
                 continue
