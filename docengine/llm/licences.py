@@ -118,34 +118,54 @@ class Classifier:
         self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
         self.weights = w
 
-    def classify(self, words: list[str]) -> tuple[str, float, float]:
-        """Family, its calibrated probability, share of its best template's shingles found."""
+    def classify(self, words: list[str]) -> list[tuple[str, float, float]]:
+        """Families that may be declared here, each with its calibrated probability and the share of its best template's shingles found."""
         z = (self.weights[self.features(words)].sum(axis=0) + self.weights[-1]) / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
-        own = _shingles(words)
-        for k in np.argsort(-p, kind="stable")[:3]:  # of close relatives, the one whose template is there
-            if k and p[k] > 0.02:
+        own, out = _shingles(words), []
+        for k in range(1, len(p)):
+            if p[k] > 0.02 or z[k] > z[0]:  # beside another licence the probability is small, though above that of unknown
                 share = max(len(own & t) / len(t) for t in self.shingles[self.families[k]])
                 if share >= CONTAINED:
-                    return self.families[k], float(p[k]), share
-        return UNKNOWN, float(p[0]), 0.0
+                    out.append((self.families[k], float(p[k]), share))
+        return out
+
+    def _declared(self, found: dict[str, tuple[str, float, float]], own: set[tuple[str, ...]]) -> list[tuple[str, float, float]]:
+        """Of close relatives the one whose template is there: others need what sets their templates apart as well."""
+        words = {w for g in own for w in g}
+        ranked = []
+        for hit in found.values():
+            template = max(self.shingles[hit[0]], key=lambda t: len(own & t) / len(t))
+            numbered = {w for g in template for w in g if w[0].isdigit()} <= words
+            ranked.append((numbered, len(own & template) / len(template), hit, template))
+        out, known = [], set()
+        for numbered, _, hit, template in sorted(ranked, key=lambda r: (not r[0], -r[1], -r[2][1], r[2][0])):
+            apart = template - known
+            relative = 4 * len(apart) <= 3 * len(template)  # shares a quarter with others: its version has to be there
+            if apart and len(own & apart) >= CONTAINED * len(apart) and (numbered or not relative):
+                out.append(hit)
+                known |= template
+        return out
+
+    def scan(self, text: str | None) -> list[tuple[str, float, float, int]]:
+        """Each family that a paragraph of text declares, with the paragraph's number, or unknown where it holds a feature only.
 
-    def scan(self, text: str | None) -> list[tuple[str, float, float]]:
-        """What each paragraph of text that holds a feature is; long paragraphs are read in overlapping windows."""
+        Long paragraphs are read in overlapping windows.
+        """
         out = []
-        for paragraph in PARAGRAPHS.split(text or ""):
+        for number, paragraph in enumerate(PARAGRAPHS.split(text or "")):
             words = words_of(paragraph)
             if self.marks.isdisjoint(words):
                 continue
-            best = (UNKNOWN, 0.0, 0.0)
+            best: dict[str, tuple[str, float, float]] = {}
             for s in range(0, max(1, len(words) - STRIDE), STRIDE):
                 window = words[s : s + WINDOW]
                 if not self.marks.isdisjoint(window):
-                    found = self.classify(window)
-                    if found[0] != UNKNOWN:
-                        best = max(best, found, key=lambda f: (f[0] != UNKNOWN, f[1], f[0]))
-            out.append(best)
+                    for found in self.classify(window):
+                        best[found[0]] = max(best.get(found[0], found), found, key=lambda f: (f[1], f[2]))
+            hits = self._declared(best, _shingles(words)) if best else []
+            out += [(*h, number) for h in hits or [(UNKNOWN, 0.0, 0.0)]]
         return out
 
 
@@ -160,7 +180,7 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Classifier) -> Iterator[pa.R
         for text in batch.column(1).to_pylist():
             hits = [h for h in model.scan(text) if h[0] != UNKNOWN]
             best = max(hits, key=lambda h: (h[1], h[2], h[0]), default=None)
-            out.append((len(hits), ",".join(sorted({h[0] for h in hits})), best and best[0], best and best[1], best and best[2]))
+            out.append((len({h[3] for h in hits}), ",".join(sorted({h[0] for h in hits})), best and best[0], best and best[1], best and best[2]))
         cols = list(zip(*out, strict=True)) or [[]] * 5
         types = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64())
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_paragraphs", "families", "family", "probability", "template_share"])

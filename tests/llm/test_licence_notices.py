@@ -23,3 +23,30 @@ def test_wrapped_notices(family, end):
 def test_paragraphs_stay_apart():
     both = WRAPPED["BSD"] + "\n \t\n" + WRAPPED["MIT"]
     assert [h[0] for h in licences.classifier().scan(both)] == ["BSD", "MIT"]
+
+
+def declared(spark, text):
+    row = licences.scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    return row.n_paragraphs, row.families
+
+
+def test_all_families_of_a_paragraph(spark):
+    mit, apache, gpl2, gpl3 = (licences.TEMPLATES[f][0] for f in ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0"))
+    assert declared(spark, f"{mit} {apache}") == (1, "Apache-2.0,MIT")
+    assert declared(spark, f"{gpl2} {gpl3}") == (1, "GPL-2.0,GPL-3.0")
+    far = " word" * 150
+    assert declared(spark, f"{mit}{far} {apache}{far} {gpl3}\n\n{mit}") == (2, "Apache-2.0,GPL-3.0,MIT")
+    five = [licences.TEMPLATES[f][0] for f in ("MIT", "ISC", "CC0", "BSD", "MPL-2.0")]
+    assert declared(spark, " ".join(five)) == (1, "BSD,CC0,ISC,MIT,MPL-2.0")
+
+
+def test_no_relatives_beside_a_family():
+    for family, texts in licences.TEMPLATES.items():
+        for text in texts:
+            assert families(text) == {family}, text
+
+
+@pytest.mark.parametrize("family", sorted(WRAPPED))
+def test_notices_anywhere_in_a_paragraph(family):
+    for n in range(0, 80, 7):
+        assert families("word " * n + WRAPPED[family] + " word" * n) == {family}, n
