@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +35,15 @@ def unescape_basic(text: Column) -> Column:
     return replace_all(text, {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"})
 
 
+def _nfkd(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+
+
 def fold_for_search(text: Column) -> Column:
-    """Without soft hyphens, ligatures spelt out, lower case, decomposed accents dropped (compositions need fold_unicode)."""
-    return F.regexp_replace(F.lower(replace_all(text, {"­": ""} | SEARCH_LIGATURES)), COMBINING, "")
+    """Without soft hyphens, ligatures spelt out, lower case, decomposed for compatibility (NFKD), accents dropped."""
+    fold = F.pandas_udf(_nfkd, "string", F.PandasUDFType.SCALAR_ITER)
+    return F.regexp_replace(fold(F.lower(replace_all(text, {"\u00ad": ""} | SEARCH_LIGATURES))), COMBINING, "")
 
 
 def normalize_for_compare(text: Column) -> Column:
