@@ -351,19 +351,37 @@ def page_label_styles(spark: SparkSession, d: str) -> DataFrame:
 # joins and graphs
 
 
-@query("SELECT coalesce(c.nation, s.nation) AS nation, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers, CASE WHEN c.n IS NULL THEN 'supplier' WHEN s.n IS NULL THEN 'customer' ELSE 'both' END AS origin FROM (SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_acctbal > 9500 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) s ON c.nation = s.nation")
-def metadata_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
-    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+def reconcile(customers: DataFrame, suppliers: DataFrame) -> DataFrame:
+    c = customers.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    s = suppliers.groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
     origin = F.when(F.col("customers").isNull(), "supplier").when(F.col("suppliers").isNull(), "customer").otherwise("both")
     return c.join(s, "nation", "full").select("nation", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"), origin.alias("origin"))
 
 
+def guard(nations: DataFrame, customers: DataFrame) -> DataFrame:
+    f = customers.select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
+    held = nations.select(F.col("n_name").alias("name"), "n_nationkey").distinct().join(f, "n_nationkey", "left").groupBy("name").agg(F.count("c_custkey").alias("holders"))
+    return held.withColumn("status", F.when(F.col("holders") == 1, "ok").when(F.col("holders") == 0, "missing").otherwise("ambiguous"))
+
+
+@query("SELECT coalesce(c.nation, s.nation) AS nation, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers, CASE WHEN c.n IS NULL THEN 'supplier' WHEN s.n IS NULL THEN 'customer' ELSE 'both' END AS origin FROM (SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_acctbal > 9500 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) s ON c.nation = s.nation")
+def metadata_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile(table(spark, d, "customer").where("c_acctbal > 9500"), table(spark, d, "supplier"))
+
+
+@query("SELECT coalesce(c.nation, s.nation) AS nation, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers, CASE WHEN c.n IS NULL THEN 'supplier' WHEN s.n IS NULL THEN 'customer' ELSE 'both' END AS origin FROM (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) s ON c.nation = s.nation")
+def metadata_reconcile_all(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile(table(spark, d, "customer"), table(spark, d, "supplier"))
+
+
 @query("SELECT e.name, count(f.c_custkey) AS holders, CASE WHEN count(f.c_custkey) = 1 THEN 'ok' WHEN count(f.c_custkey) = 0 THEN 'missing' ELSE 'ambiguous' END AS status FROM (SELECT DISTINCT n_name AS name, n_nationkey FROM nation) e LEFT JOIN customer f ON f.c_nationkey = e.n_nationkey AND f.c_acctbal > 9000 GROUP BY e.name")
 def fill_form_guard(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
-    held = table(spark, d, "nation").select(F.col("n_name").alias("name"), "n_nationkey").distinct().join(f, "n_nationkey", "left").groupBy("name").agg(F.count("c_custkey").alias("holders"))
-    return held.withColumn("status", F.when(F.col("holders") == 1, "ok").when(F.col("holders") == 0, "missing").otherwise("ambiguous"))
+    return guard(table(spark, d, "nation"), table(spark, d, "customer").where("c_acctbal > 9000"))
+
+
+@query("SELECT e.name, count(f.c_custkey) AS holders, CASE WHEN count(f.c_custkey) = 1 THEN 'ok' WHEN count(f.c_custkey) = 0 THEN 'missing' ELSE 'ambiguous' END AS status FROM (SELECT DISTINCT n_name AS name, n_nationkey FROM nation) e LEFT JOIN customer f ON f.c_nationkey = e.n_nationkey GROUP BY e.name")
+def fill_form_guard_all(spark: SparkSession, d: str) -> DataFrame:
+    return guard(table(spark, d, "nation"), table(spark, d, "customer"))
 
 
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
