@@ -125,7 +125,7 @@ def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def ascii_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The pairs that PAIRS compares: DuckDB's levenshtein counts bytes, which are characters in ASCII only."""
-    return turn_pairs(spark, d).where(F.col("sim").isNotNull() & ~F.col("text").rlike(ASCII) & ~F.col("next").rlike(ASCII))
+    return turn_pairs(spark, d).where(~F.col("text").rlike(ASCII) & ~F.col("next").rlike(ASCII))
 
 
 def outcomes(pairs: DataFrame) -> DataFrame:
