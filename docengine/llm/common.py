@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 _made: list[str] = []
 
-#: Rows of an Arrow batch handed to a Python worker that holds whole texts.
-TEXT_BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch handed to a Python worker that holds whole texts.
+TEXT_BATCH_ROWS = 1024
+TEXT_BATCH_BYTES = 2 << 20
 #: Bits of the filter of may_match(), a sixty-fourth of which are the rows it broadcasts at most.
 FILTER_BITS = 24
 
@@ -23,11 +24,13 @@ FILTER_BITS = 24
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a temporary
-    folder of this machine is made, set and removed at exit.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset and all runs in this process, as in
+    tests, a temporary folder of this machine is made, set and removed at exit.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="docengine-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -68,6 +71,7 @@ def may_match(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small, in rows and in bytes; results don't depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
 def split_words(text: bytes | None) -> list[bytes]:

@@ -1,8 +1,13 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -19,12 +24,29 @@ def ids_of(path, texts, end):
     return [np.array([*e.ids, end], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+ATOMS = [*"                \n\n\n\t\t", "  ", "\r\n", "\x85", "\u00a0", "\x1c", "\x0b", *"aBcéÉßİΣ²3½日́.,-_<>|×÷🙂#@ªº≠가\u200b\ufeff\x00\x7f\u3000", "x", "42", "'s", "'t", "'LL", "!?", "%%%", "***", "<|endoftext|>", "ﬁ", "Ã\u0097"]
+
+
 @pytest.mark.parametrize(("path", "byte_level"), [(BYTES, True), (WORDS, False)])
-def test_pieces_are_the_library(path, byte_level, docs):
-    odd = ["a  b", "don't  's x", " lead", "trail ", "\n\n a\n", "é́ x", "x²y 3½", "日本 語\t\ttab", "a b", "<|endoftext|> z", "ß.ẞ İx", "x.'s y,'t", "a\x1c b", "\r\n", "", None]
-    texts = odd + [r.text for r in docs.limit(60).collect()]
-    own = tokens.Encoder(path, byte_level).encode(texts)
-    assert own == [x[:-1].tobytes() for x in ids_of(path, texts, 0)]
+def test_pieces_are_the_library(path, byte_level, docs, monkeypatch):
+    odd = ["a  b", "don't  's x", " lead", "trail ", "\n\n a\n", "é́ x", "x²y 3½", "日本 語\t\ttab", "<|endoftext|> z", "ß.ẞ İx", "x.'s y,'t", "name\tage\tcity\n\n Bob", "a\tb\n\n\tc", "", None]
+    rng = random.Random(3)
+    mixed = ["".join(rng.choices(ATOMS, k=rng.randint(0, 14))) for _ in range(4000)]
+    texts = odd + mixed + [r.text for r in docs.limit(60).collect()]
+    monkeypatch.setattr(tokens, "KNOWN_PIECES", 500)
+    own = tokens.Encoder(path, byte_level, 9)
+    for s in range(0, len(texts), 300):  # forgets on the way; slices of a larger array keep their places
+        flat, at = own.encode(pa.array(["before", *texts[s : s + 300]]).slice(1))
+        want = ids_of(path, texts[s : s + 300], 9)
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.tolist() for x in want]
+    flat, at = own.encode(pa.array([], pa.string()))
+    assert not len(flat) and at.tolist() == [0]
+
+
+def test_slices_keep_rows():
+    texts = ["x" * n for n in (10, 0, 3_000_000, 5, 2_000_000, 2_000_000)] + [None]
+    parts = list(tokens.slices(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]), 0))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts and len(parts) > 2
 
 
 def test_token_files(spark, sf_dir, docs, odd, empty):
@@ -38,6 +60,39 @@ def test_token_files(spark, sf_dir, docs, odd, empty):
         assert token_files.read_token_files(spark, path).count() == table.count()
 
 
+def test_selective_reads(spark, docs, odd, monkeypatch):
+    monkeypatch.setattr(token_files, "ROW_GROUP_BYTES", 64 << 10)
+    monkeypatch.setattr(token_files, "PAGE_BYTES", 8 << 10)
+    many = docs.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(9000), F.lit(1000)), lambda x: F.col("doc_id") + x)).alias("doc_id"), "text")
+    token_files.write_token_files(many, path := scratch(spark, "selective"), BYTES, end=0, partitions=2)
+    whole = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    stream = np.concatenate([r.ids for r in whole])
+    bare = token_files.read_token_files(spark, path, columns=())
+    assert "ids" not in "".join(line for line in bare._jdf.queryExecution().toString().splitlines() if "ReadSchema" in line)
+    assert sorted(map(tuple, bare.collect())) == sorted((r.doc_id, r.start, r.n_tokens) for r in whole)
+    one = token_files.read_token_files(spark, path, where=F.col("doc_id") == whole[7].doc_id)
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id" in one._jdf.queryExecution().toString() and one.collect() == [whole[7]]
+    got = sorted(token_files.read_token_range(spark, path, 1000, 9001).collect(), key=lambda r: r.start)
+    assert np.concatenate([r.ids for r in got]).tolist() == stream[1000:9001].tolist() and got[0].start == 1000
+    files = spark.read.parquet(path).inputFiles()
+    groups = 0
+    for file in files:
+        meta = pq.ParquetFile(file.removeprefix("file://").removeprefix("file:")).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            by_name = {meta.row_group(g).column(i).path_in_schema: meta.row_group(g).column(i) for i in range(meta.num_columns)}
+            ids, n = by_name["ids.list.element"], by_name["n_tokens"]
+            assert ids.has_dictionary_page and "DELTA_BINARY_PACKED" in n.encodings and not n.has_dictionary_page
+            assert all(c.has_column_index and c.has_offset_index for c in (n, by_name["doc_id"])) and by_name["doc_id"].statistics.has_min_max
+    assert len(files) == 2 and groups > 4
+    # one id in most rows: its rows fill several files, order and starts hold
+    hot = docs.select(F.when(F.col("doc_id") % 4 > 0, 5).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    token_files.write_token_files(hot, path := scratch(spark, "hot"), BYTES, end=0, partitions=4)
+    rows = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in hot.collect()) and spark.read.parquet(path).where("doc_id = 5").select("part").distinct().count() > 1
+    assert rows[-1].start + rows[-1].n_tokens == len(stream) // 10
+
+
 def check_pieces(pieces, ids):
     """ids: the tokens of each document, in any order."""
     by_doc, by_sequence = {}, {}
@@ -59,13 +114,42 @@ def test_packing(spark, docs, odd, empty):
     rows = docs.collect()
     pieces = packing.pack_documents(docs, WORDS, end=2).collect()
     sequences = check_pieces(pieces, dict(zip([r.doc_id for r in rows], ids_of(WORDS, [r.text for r in rows], 2), strict=True)))
-    assert sum(sum(p.length for p in s) == packing.WINDOW for s in sequences.values()) >= len(sequences) - 13 * docs.rdd.getNumPartitions()
+    lengths = [sum(p.length for p in s) for s in sequences.values()]
+    assert sum(n in packing.TIERS for n in lengths) >= len(lengths) - 13 * docs.rdd.getNumPartitions()
     own = odd.where("doc_id in (2, 3, 5, 8)")
     check_pieces(packing.pack_documents(own, WORDS, end=2).collect(), {r.doc_id: i for r, i in zip(own.collect(), ids_of(WORDS, [r.text for r in own.collect()], 2), strict=True)})
     assert sum(r.length for r in packing.pack_documents(odd, WORDS, end=2).collect()) == sum(map(len, ids_of(WORDS, [r.text for r in odd.collect()], 2)))
     assert packing.pack_documents(empty, WORDS, end=2).count() == 0
 
 
+def test_tiers_pack_their_own():
+    rng = np.random.default_rng(8)
+    packer, want = packing.Packer(3, 4096, packing.TIERS), {}
+    for doc in range(3000):
+        want[doc] = rng.integers(0, 50_000, int(rng.choice([20, 300, 700, 1500, 3000, 9000]) * rng.uniform(0.7, 1.3))).astype(np.uint32)
+        packer.add(doc, want[doc])
+    packer.finish()
+    rows = [Row(**r) for r in packer.rows().to_pylist()]
+    sequences = check_pieces([Row(**(r.asDict() | {"ids": np.array(r.ids, np.int32).view(np.uint32)})) for r in rows], want)
+    tail = 13
+    for tier in packing.TIERS:
+        own = [s for s in sequences.values() if s[0].tier == tier and sum(p.length for p in s) == tier]
+        # each holds a piece that no shorter tier could hold
+        assert len(own) > 20 and sum(max(p.length for p in s) > tier // 2 * (tier > 512) for s in own) >= len(own) - tail
+    assert [r.before for r in rows] == sorted(r.before for r in rows)
+
+
+def test_step_groups(spark, docs):
+    packed = packing.pack_documents(docs.repartition(3), WORDS, end=2)
+    rows = packing.with_step_groups(packed, 8192).collect()
+    tokens_of, groups = {}, {}
+    for r in rows:
+        tokens_of[r.step_group] = tokens_of.get(r.step_group, 0) + r.length
+        groups.setdefault(r.sequence_id, set()).add(r.step_group)
+    assert sorted(tokens_of) == list(range(len(tokens_of))) and all(len(g) == 1 for g in groups.values())
+    assert all(abs(n - 8192) <= 4096 for g, n in tokens_of.items() if g < max(tokens_of))
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
