@@ -65,8 +65,8 @@ def format_chats(conversations: DataFrame, template: Template = TEMPLATE) -> Dat
     three a turn, whose texts joined are the formatted conversation.
 
     Null texts and roles count as empty; undeclared roles get an escaped label and are never valid. Turns are ordered by
-    turn (null first), repeated turns by role and text; repeated rows are turns of their own. Rows without conv_id make one
-    conversation. A conversation's output is one row, so it must fit a task; formatting and escaping come before grouping.
+    turn (null first), repeated turns by role and text; repeated rows are turns of their own. A row without conv_id
+    is a conversation of its own. A conversation's output is one row, so it must fit a task; formatting and escaping come before grouping.
     """
     t = template
     role = F.coalesce(F.col("role"), F.lit(""))
@@ -76,7 +76,8 @@ def format_chats(conversations: DataFrame, template: Template = TEMPLATE) -> Dat
             F.col("turn").cast("long").alias("turn"), role.alias("role"), F.concat(F.lit(t.head), _label(role, t), F.lit(t.colon)).alias("head"), escape(F.coalesce(F.col("text"), F.lit("")), t.escapes).alias("body")
         ).alias("t"),
     )
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    chats = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    chats = chats.unionByName(turns.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     allowed = F.array(*[F.lit(f"{state}>{role}") for state, roles in t.next.items() for role in roles])
     start = F.struct(F.lit("").alias("state"), F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("error"))
 

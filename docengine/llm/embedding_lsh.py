@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import materialize
+from docengine.llm.common import bounded_batches, frugal, materialize
 from docengine.llm.components import connected_components
 
 COSINE = 0.9
 TABLES = 80
 DIRECTIONS = 16
 WIDTH = 2.0
-BLOCK = 1024
+BLOCK = 512
+#: Rows of a block compared at a time.
+STRIP = 128
 SEED = 11
 
 
@@ -44,6 +46,7 @@ def table_keys(units: np.ndarray, tables: int = TABLES, directions: int = DIRECT
     return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+@frugal
 def _sign(batches: Iterator[pa.RecordBatch], tables: int, directions: int, width: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = [np.asarray(x, np.float64) for x in batch.column(1).to_pylist()]
@@ -58,12 +61,18 @@ def _sign(batches: Iterator[pa.RecordBatch], tables: int, directions: int, width
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int32()))], names=[*batch.schema.names, "keys"])
 
 
+def _strips(n: int) -> Iterator[slice]:
+    return (slice(s, s + STRIP) for s in range(0, n, STRIP))
+
+
 def _forest(links: np.ndarray) -> np.ndarray:
     """For a symmetric boolean matrix: the smallest index of each row's component."""
-    label = np.arange(len(links))
+    n = len(links)
+    label = np.arange(n, dtype=np.int32)
     while True:
-        near = np.where(links, label[None, :], len(links)).min(axis=1, initial=len(links))
-        new = np.minimum(label, near)
+        new = label.copy()
+        for s in _strips(n):
+            new[s] = np.minimum(new[s], np.where(links[s], label[None, :], np.int32(n)).min(axis=1, initial=n))
         new = new[new]
         if (new == label).all():
             return label
@@ -71,21 +80,27 @@ def _forest(links: np.ndarray) -> np.ndarray:
 
 
 def _block(t: int, rows: dict[str, np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node, its number of links counted here, and a smaller node of its component here or itself."""
+    """Node, its number of links counted here, and a smaller node of its component here or itself. Works in strips of rows."""
     node, side, unit, keys, copies = (rows[k] for k in ("node", "side", "unit", "keys", "copies"))
-    own = unit @ unit.T >= cosine
-    np.fill_diagonal(own, False)
-    if (side != side[0]).any():  # two chunks of one bucket: each has its own block for its inner pairs
-        own &= side[:, None] != side[None, :]
-    i, j = np.nonzero(own)
-    counts = np.zeros(len(node), np.int64)
-    for s in range(0, len(i), 1 << 15):
-        a, b = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-        first = ~(keys[a, :t] == keys[b, :t]).any(axis=1) if t else np.ones(len(a), bool)
-        np.add.at(counts, a[first], copies[b[first]])
+    n = len(node)
+    own = np.empty((n, n), bool)
+    counts = np.zeros(n, np.int64)
+    two = (side != side[0]).any()  # two chunks of one bucket: each has its own block for its inner pairs
+    for s in _strips(n):
+        own[s] = unit[s] @ unit.T >= cosine
+        if two:
+            own[s] &= side[s, None] != side[None, :]
+        own[np.arange(n)[s], np.arange(n)[s]] = False
+        first = own[s].copy()
+        for earlier in range(t):
+            if not first.any():
+                break
+            first &= keys[s, earlier, None] != keys[None, :, earlier]
+        counts[s] = first @ copies
     return node, counts, node[_forest(own)]
 
 
+@frugal
 def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (t, key, dim, lo, hi): blocks follow one another and may cross batches."""
     parts: list[dict[str, np.ndarray]] = []
@@ -129,6 +144,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, tables: i
     (component_id null, kept true) and vectors of different lengths. Rows that share a vec_id are one node of the links; each
     still counts for its partners.
     """
+    bounded_batches(vectors.sparkSession)
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     usable = F.col("vec_id").isNotNull() & F.exists("embedding", lambda x: x != 0) & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import bounded_batches, materialize, may_match, shingle_hashes, split_words
+from docengine.llm.common import bounded_batches, frugal, left_join, materialize, may_match, shingle_hashes, split_words
 from docengine.llm.stars import linked_classes, shared_buckets
 
 BIN_BITS = 7
@@ -61,6 +61,7 @@ def band_keys(bins: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
+@frugal
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, bin_bits: int, bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, keys = [], [], []
@@ -76,6 +77,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bin_bits: int, bands:
         )
 
 
+@frugal
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (centre, chunk, role, id, text) in this order, a group's centre first: the pairs that really link."""
     group, sets = None, []
@@ -155,6 +157,7 @@ def _compare_block(rows: list[tuple[int, int, int, np.ndarray]], percent: int) -
     return edges
 
 
+@frugal
 def _confirm_blocks(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (cluster, lo, hi, side, node, comp, text), a block's rows together."""
     block, rows = None, []
@@ -208,5 +211,6 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
 
 def drop_near_duplicates(documents: DataFrame, **options: int) -> DataFrame:
     """documents without the rows that near_duplicates() does not keep, columns unchanged."""
-    gone = near_duplicates(documents, **options).where("not kept").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    gone = materialize(near_duplicates(documents, **options).where("not kept").select(F.col("doc_id").alias("__gone"), F.lit(True).alias("__drop")).distinct(), "gone")
+    rows = left_join(documents.withColumn("__gone", F.col("doc_id").cast("long")), "__gone", gone)
+    return rows.where("__drop is null").select(documents.columns)

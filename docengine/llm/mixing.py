@@ -6,19 +6,24 @@ flight phase moves the probabilities of three documents at a time along the null
 of documents, number of words), so that both totals stay exact, until one of them is 0 or 1. It runs in blocks of bounded
 size; what each block leaves undecided (three rows at most) goes to the blocks of the next level, until a source has a single
 block. There the smallest documents are kept for landing: they are rounded, largest first, towards the words still due.
+take() makes its blocks of consecutive rows of an input split, so that only the few rows they leave undecided are shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import materialize
+from docengine.llm.common import bounded_batches, frugal, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -26,6 +31,12 @@ CAP = 2.0
 BLOCK = 4096
 LANDING = 64
 SEED = 17
+#: Targets of up to so many sources are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_SOURCES = 200_000
+#: Undecided rows, and their bytes, that a task of take() keeps; beyond, it leaves them undecided.
+CARRY_ROWS, CARRY_BYTES = 4096, 32 << 20
+#: Of each source a task of take() leaves so many of its smallest rows for landing.
+RESERVE = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -109,50 +120,118 @@ def _cube(group: pd.DataFrame, level: int, seed: int) -> pd.DataFrame:
     return group
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """One row for each row of documents (doc_id long, text string, source string; other columns are ignored).
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
-    doc_id, source, size long (words of the text; null: 0), source_size long, target double (its source's), copies int (times
-    the mix takes it, at most the cap rounded up), taken long (copies * size), tie long (hash of the text).
 
-    Results depend on the rows alone, so reruns agree; identical rows are exchangeable. Sources without words have target 0
-    and no copies; null is a source like others.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    units = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("tie")), "units")
-    targets = materialize(source_targets(units, weights, share, cap), "targets")
+def _rated(targets: DataFrame) -> DataFrame:
+    """(s, source_size, n, target, whole int, pi): copies of each row of source s for sure, and the probability of one more."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + 1e-9)
-    rated = targets.select(F.col("source").alias("s"), "source_size", "n", "target", whole.cast("int").alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("pi"))
-    rows = units.join(rated, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("pi", F.when(F.col("pi") < 1e-9, 0.0).otherwise(F.col("pi")))
-    base = ["doc_id", "source", "size", "tie", "source_size", "target", "whole", "pi"]
-    done = rows.where("pi = 0").select(base)
-    todo = rows.where("pi > 0").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    most = targets.agg(F.max("n")).first()[0] or 0
-    level = 0
+    more = F.greatest(rate - whole, F.lit(0.0))
+    out = targets.select(F.col("source").alias("s"), "source_size", "n", "target", whole.cast("int").alias("whole"), F.when(more < 1e-9, 0.0).otherwise(more).alias("pi"))
+    return F.broadcast(out) if targets.count() <= BROADCAST_SOURCES else out
+
+
+def _settle(todo: DataFrame, most: int, seed: int) -> DataFrame:
+    """todo (doc_id, source, size, tie, pi and n, the rows of its source, at most most) with pi 0 or 1, without n."""
+    columns = [c for c in todo.columns if c != "n"]
+    done, level = None, 0
+    todo = todo.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).drop("n")
     while True:
-        todo = todo.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "tie"), "blocks")).withColumn("source_hash", F.xxhash64("source")).drop("n")
+        todo = todo.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "tie"), "blocks")).withColumn("source_hash", F.xxhash64("source"))
         schema = ", ".join(f"{c} {t}" for c, t in todo.dtypes)
         moved = materialize(todo.groupBy("source", "block").applyInPandas(partial(_cube, level=level, seed=seed), schema), "cube")
-        done = done.unionByName(moved.where("pi in (0, 1)").select(base))
+        now = moved.where("pi in (0, 1)").select(columns)
+        done = now if done is None else done.unionByName(now)
         blocks = math.ceil(most / BLOCK)
         if blocks <= 1:
-            break
+            return done
         # each block leaves three rows at most
         todo = moved.where("pi not in (0, 1)").withColumn("blocks", F.ceil(F.col("blocks") * 3 / BLOCK)).drop("block", "source_hash")
         most, level = blocks * 3, level + 1
+
+
+def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """One row for each row of documents (doc_id long, text string, source string; other columns are ignored).
+
+    doc_id, source, size long (words of the text; null: 0), source_size long, target double (its source's), copies int (times
+    the mix takes it, at most the cap rounded up), taken long (copies * size), tie long (hash of the text).
+
+    Results depend on the rows alone, so reruns agree; identical rows are exchangeable. Sources without words have target 0
+    and no copies; null is a source like others.
+    """
+    units = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64("text").alias("tie")), "units")
+    targets = materialize(source_targets(units, weights, share, cap), "targets")
+    rows = units.join(_rated(targets), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    base = ["doc_id", "source", "size", "tie", "source_size", "target", "whole", "pi"]
+    settled = _settle(rows.where("pi > 0").select(*base, "n"), targets.agg(F.max("n")).first()[0] or 0, seed)
+    done = rows.where("pi = 0").select(base).unionByName(settled.select(base))
     copies = (F.col("whole") + F.col("pi").cast("int")).alias("copies")
     return done.select("doc_id", "source", "size", "source_size", "target", copies, (F.col("size") * copies).cast("long").alias("taken"), "tie")
 
 
-def take(documents: DataFrame, **options) -> DataFrame:
-    """documents with each row repeated as often as mix() takes it, columns unchanged. Equal rows share their copies."""
-    spread = mix(documents, **options).groupBy("doc_id", "source", "size", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    keyed = documents.withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__tie": F.xxhash64("text")})
-    keys = spread.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("tie").alias("__t"), F.col("copies").alias("__copies"), F.col("rows").alias("__rows"))
-    joined = keyed.join(keys, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__source").eqNullSafe(F.col("__s")) & F.col("__tie").eqNullSafe(F.col("__t")))
-    single = joined.where("__rows = 1")
-    order = Window.partitionBy("__id", "__source", "__tie").orderBy("__id")
-    several = joined.where("__rows > 1").withColumn("__copies", F.floor(F.col("__copies") / F.col("__rows")) + (F.row_number().over(order) <= F.col("__copies") % F.col("__rows")).cast("long"))
-    both = single.unionByName(several)
-    return both.where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(documents.columns)
+@frugal
+def _flow(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose last columns are size, source, whole, pi: pi moves to 0 or 1, but for a few small rows; __row numbers the rows."""
+    split = TaskContext.get().partitionId()
+    carry: dict[str | None, pa.RecordBatch] = {}
+    rngs: dict[str | None, np.random.Generator] = {}
+    row = split << 34
+
+    def out(part: pa.RecordBatch) -> pa.RecordBatch:
+        nonlocal row
+        row += part.num_rows
+        return part.append_column("__row", pa.array(np.arange(row - part.num_rows, row)))
+
+    for batch in batches:
+        batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)  # all fields may be null
+        pi = batch.column("__pi").to_numpy()
+        yield out(batch.filter(pa.array(pi == 0)))
+        by_source: dict[str | None, list[int]] = {}
+        for i, source in enumerate(batch.column("__source").to_pylist()):
+            if pi[i] > 0:
+                by_source.setdefault(source, []).append(i)
+        for source, at in by_source.items():
+            part = batch.take(pa.array(at))
+            if source in carry:
+                part = pa.concat_batches([carry.pop(source), part])
+            if source not in rngs:
+                rngs[source] = np.random.default_rng([seed, split, zlib.crc32(repr(source).encode())])
+            part = part.take(pa.array(np.argsort(-part.column("__size").to_numpy(), kind="stable")))
+            moved, fly = part.column("__pi").to_numpy().copy(), max(0, part.num_rows - RESERVE)
+            flight(part.column("__size").to_numpy()[:fly].astype(np.float64), moved[:fly], rngs[source])
+            part = part.set_column(part.schema.get_field_index("__pi"), "__pi", pa.array(moved))
+            still = (moved > 0) & (moved < 1)
+            yield out(part.filter(pa.array(~still)))
+            if still.any():
+                carry[source] = part.filter(pa.array(still))
+        if sum(c.num_rows for c in carry.values()) > CARRY_ROWS or sum(c.nbytes for c in carry.values()) > CARRY_BYTES:
+            yield from map(out, carry.values())
+            carry.clear()
+            rngs.clear()
+    yield from map(out, carry.values())
+
+
+def take(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """documents with each row repeated as often as the mix takes it, columns unchanged.
+
+    Targets, rates and rounding are those of mix(); which rows are rounded up depends on the rows and on how the input is
+    split, so reruns over the same files agree.
+    """
+    bounded_batches(documents.sparkSession)
+    columns = documents.columns
+    rows = documents.withColumns({"__size": _size(), "__source": F.col("source").cast("string")})
+    targets = materialize(source_targets(rows.select(F.col("__source").alias("source"), F.col("__size").alias("size")), weights, share, cap), "targets")
+    rates = _rated(targets).select("s", F.col("whole").alias("__whole"), F.col("pi").alias("__pi"))
+    rated = rows.join(rates, F.col("__source").eqNullSafe(F.col("s"))).select(*columns, "__size", "__source", "__whole", "__pi")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rated.dtypes)
+    held = materialize(rated.mapInArrow(partial(_flow, seed=seed), f"{schema}, __row long"), "flow")
+    still = held.where("__pi > 0 and __pi < 1")
+    units = still.select(F.col("__row").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__row").alias("tie"), F.col("__pi").alias("pi"))
+    counts = materialize(units.groupBy("source").agg(F.count("*").alias("n")), "open")
+    sized = units.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    settled = _settle(sized, counts.agg(F.max("n")).first()[0] or 0, seed).select(F.col("doc_id").alias("__row"), F.col("pi").alias("__settled"))
+    both = held.where("__pi in (0, 1)").select(*columns, (F.col("__whole") + F.col("__pi")).alias("__copies"))
+    both = both.unionByName(still.join(settled, "__row").select(*columns, (F.col("__whole") + F.col("__settled")).alias("__copies")))
+    return both.where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(columns)

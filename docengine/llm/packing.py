@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import bounded_batches, materialize
+from docengine.llm.common import bounded_batches, frugal, materialize
 from docengine.llm.tokens import encoder, list_array, slices
 
 WINDOW = 4096
@@ -113,6 +113,7 @@ class Packer:
         return pa.RecordBatch.from_arrays([ids if i == 3 else pa.array(c, pa.int32() if kinds[i] == "int" else pa.int64()) for i, c in enumerate(columns)], names=list(names))
 
 
+@frugal
 def _pack(batches: Iterator[pa.RecordBatch], path: str, byte_level: bool, end: int, window: int, tiers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     packer = Packer(TaskContext.get().partitionId(), window, tiers)
     for part in slices(batches, 1):
@@ -120,6 +121,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, byte_level: bool, end: i
         for doc, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
             packer.add(doc, flat[a:b])
         yield packer.rows()
+    encoder(path, byte_level, end).forget()
     packer.finish()
     yield packer.rows()
 

@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import bounded_batches
+from docengine.llm.common import bounded_batches, frugal
 
 PASSAGE_BYTES = 1500
 PAIRS = 128
 #: Bound of the training sample, for each of the two labels.
 SAMPLE = 2000
+#: Bound of a training document's passages, evenly spaced over the whole text. Scores use all passages.
+TRAIN_PASSAGES = 128
 FOLDS = 5
 HIDDEN, ATTENTION = 24, 12
 STEPS, RATE, DECAY = 250, 0.02, 1e-4
@@ -68,9 +70,12 @@ def encode_passage(piece: bytes) -> np.ndarray:
     return x
 
 
-def encode_text(text: bytes | None) -> np.ndarray:
-    """A row for each passage; null and empty texts have one of zeros."""
-    return np.stack([encode_passage(p) for p in passages(text or b"")])
+def encode_text(text: bytes | None, most: int | None = None) -> np.ndarray:
+    """A row for each passage, or for most of them at most; null and empty texts have one of zeros."""
+    found = passages(text or b"")
+    if most and len(found) > most:
+        found = [found[i * len(found) // most] for i in range(most)]
+    return np.stack([encode_passage(p) for p in found])
 
 
 def _softmax(e: np.ndarray, starts: np.ndarray, bag: np.ndarray) -> np.ndarray:
@@ -137,12 +142,14 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
+@frugal
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = [encode_text(t.as_py()) for t in batch.column(2)]
+        bags = [encode_text(t.as_py(), TRAIN_PASSAGES) for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.astype("<f4").tobytes() for b in bags], pa.binary())], names=["doc_id", "label", "bag"])
 
 
+@frugal
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = []
@@ -165,7 +172,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_encode, "doc_id long, label int, bag binary").toPandas()
+    # of rows that share a doc_id one teaches
+    known = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = known.select("doc_id", "label", "text").mapInArrow(_encode, "doc_id long, label int, bag binary").toPandas()
     rows = rows.sort_values(["doc_id", "bag"]).reset_index(drop=True)
     bags = [np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in rows["bag"]]
     y = rows["label"].to_numpy(np.float64)
@@ -188,6 +197,7 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@frugal
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in range(0, batch.num_rows, 64):

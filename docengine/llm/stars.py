@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import materialize, may_match
+from docengine.llm.common import materialize, may_match, salted, with_salt
 from docengine.llm.components import connected_components
 
 STAR_ROUNDS = 2
@@ -23,10 +23,12 @@ BLOCK = 256
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n) of nodes (node, n, keys): members of buckets with two nodes or more."""
+    """(key, salt, salts, node, n) of nodes (node, n, keys): members of buckets with two nodes or more, crowded ones in parts."""
     rows = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    shared = materialize(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "shared")
-    return materialize(may_match(rows, "key", shared).join(shared, "key"), "buckets")
+    shared = materialize(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"), "shared")
+    dealt = with_salt(may_match(rows, "key", shared), "key", shared, "node")
+    keys = with_salt(shared, "key", shared, "m").select("key", "salts")
+    return materialize(dealt.join(salted(keys), ["key", "salt"]).select("key", "salt", "salts", "node", "n"), "buckets")
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -34,14 +36,19 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _with(rows: DataFrame, *values: Column, only: str = "true") -> DataFrame:
+    """rows with aggregates of their key, of those keys alone that meet the condition only."""
+    each = salted(rows.groupBy("key").agg(F.first("salts").alias("salts"), *values).where(only))
+    return rows.join(each, ["key", "salt"])
+
+
 def _open_rows(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
-    """(key, node, n, comp) of buckets whose members lie in several components."""
+    """(key, salt, salts, node, n, comp, crowd) of buckets whose members lie in several components; crowd is their number."""
     if components is None:
         rows = buckets.withColumn("comp", F.col("node"))
     else:
-        rows = buckets.join(components, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    still = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return materialize(rows.join(still, "key"), "open")
+        rows = buckets.join(components, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    return materialize(_with(rows, F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("crowd"), only="lo <> hi").drop("lo", "hi"), "open")
 
 
 def _star(rows: DataFrame, used: DataFrame | None, percent: int) -> DataFrame:
@@ -50,13 +57,12 @@ def _star(rows: DataFrame, used: DataFrame | None, percent: int) -> DataFrame:
     The centre is the member that meets the most others over all its buckets, as the original of many near copies does; one
     that was a centre before only comes after the others.
     """
-    crowd = rows.groupBy("key").agg(F.count("*").alias("crowd"))
-    met = rows.join(crowd, "key").groupBy("node").agg(F.sum("crowd").alias("met"))
+    met = rows.groupBy("node").agg(F.sum("crowd").alias("met"))
     met = met.withColumn("fresh", F.lit(1)) if used is None else met.join(used.withColumn("old", F.lit(0)), "node", "left").select("node", "met", F.coalesce("old", F.lit(1)).alias("fresh"))
     rows = rows.join(met, "node")
     order = F.struct("fresh", "met", F.xxhash64("node").alias("h"), "node", F.col("n").alias("m"), F.col("comp").alias("c"))
-    centres = rows.groupBy("key").agg(F.max(order).alias("z"))
-    return rows.join(centres, "key").where((F.col("comp") != F.col("z.c")) & _alike(F.col("n"), F.col("z.m"), percent)).select(F.col("z.node").alias("a"), F.col("node").alias("b")).distinct()
+    both = _with(rows, F.max(order).alias("z"))
+    return both.where((F.col("comp") != F.col("z.c")) & _alike(F.col("n"), F.col("z.m"), percent)).select(F.col("z.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
@@ -71,19 +77,33 @@ def _n_across(rows: DataFrame) -> int:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """(cluster, lo, hi, side, node, comp): square blocks of nodes that crowded buckets connect; each pair has one block."""
-    lead = rows.groupBy("key").agg(F.min("node").alias("lead"))
-    clusters = connected_components(rows.join(lead, "key").select("node", "lead").distinct(), "node", "lead").withColumnRenamed("component", "cluster")
+    """(cluster, lo, hi, side, node, comp): blocks of nodes that crowded buckets connect; each pair across components has one.
+
+    A cluster's largest component is dealt into chunks, and so are all its other nodes. The others' chunks meet each other and
+    those of the largest component, whose nodes do not meet among themselves: a few strangers beside a class of many near
+    copies cost as many rows as the class has, not their square. Chunks of the largest component have negative numbers.
+    """
+    lead = _with(rows, F.min("node").alias("lead"))
+    clusters = connected_components(lead.select("node", "lead").distinct(), "node", "lead").withColumnRenamed("component", "cluster")
     nodes = materialize(rows.select("node", "comp").distinct().join(clusters, "node", "left").select("node", "comp", F.coalesce("cluster", "node").alias("cluster")), "clusters")
-    sized = nodes.join(nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "cluster")
-    dealt = sized.withColumn("side", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sizes = nodes.groupBy("cluster", "comp").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"))
+    known = sizes.select("cluster", "m", F.col("top.comp").alias("largest"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("chunks"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("others"))
+    counts = materialize(known, "sizes")
+    salts = salted(with_salt(counts, "cluster", counts, "m").select("cluster", "largest", "chunks", "others", "salts"))
+    sized = with_salt(nodes, "cluster", counts, "node").join(salts, ["cluster", "salt"])
+    top = F.col("comp") == F.col("largest")
+    h = F.xxhash64("node")
+    side = F.when(top, -1 - F.pmod(h, "chunks")).otherwise(F.pmod(h, "others")).cast("int")
+    among = F.sequence(F.lit(0), F.col("others") - 1)
+    partners = F.when(top, among).otherwise(F.concat(among, F.sequence(-F.col("chunks"), F.lit(-1))))
+    dealt = sized.withColumn("side", side).withColumn("other", F.explode(partners))
     return dealt.select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "comp")
 
 
 def linked_classes(
     buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int = 0, links: DataFrame | None = None, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """(node, component) as of connected_components(). buckets: key, node, n, where n is a size; links: edges (a, b) known before.
+    """(node, component) as of connected_components(). buckets as of shared_buckets(), n a size; links: edges (a, b) known before.
 
     confirm takes candidate pairs (a, b), distinct in either order, and returns those that link. Pairs are proposed only if
     the smaller n is at least percent per cent of the larger. confirm_blocks takes blocks as of _blocks() and returns edges
@@ -99,10 +119,8 @@ def linked_classes(
             break
         last = turn == STAR_ROUNDS or turn > 0 and (confirm_blocks is not None or _n_across(still) <= 2 * n)
         if last and confirm_blocks is not None:
-            counted = still.join(still.groupBy("key").agg(F.count("*").alias("crowd")), "key")
-            crowded = materialize(counted.where(F.col("crowd") > CROWD).drop("crowd"), "crowded")
-            links = links.unionByName(materialize(confirm_blocks(_blocks(crowded)), "links"))
-            still = counted.where(F.col("crowd") <= CROWD).drop("crowd")
+            links = links.unionByName(materialize(confirm_blocks(_blocks(still.where(F.col("crowd") > CROWD))), "links"))
+            still = still.where(F.col("crowd") <= CROWD)
         pairs = _across(still, percent) if last else _star(still, used, percent)
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -7,7 +7,7 @@ suffixes share the next min_words - reach + 1 words at least. Retained suffixes
 then of the widest stretch that the position's windows span, and compared with their neighbours over range partitions, which
 split large groups of equal suffixes. Neighbours with equal stretches match as a whole. Where only the first words agree, the
 match ends inside the stretch: one suffix for each different stretch is extended left and right word by word, as its windows,
-and these are matched exactly. All fingerprints have 64 bits.
+and these are matched. Two independent fingerprints of 64 bits decide every match.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import bounded_batches, materialize, may_match, split_words
+from docengine.llm.common import bounded_batches, frugal, left_join, materialize, may_match, split_words
 
 MIN_WORDS = 50
 K = 5
 REACH = 21
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bases of the two rolling fingerprints, odd.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -40,17 +40,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Fingerprints of word ranges of one text."""
+    """Fingerprints of word ranges of one text, of either of two kinds."""
 
     def __init__(self, words: list[bytes]):
-        n = len(words)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * np.cumprod(np.full(n, _BASE)), dtype=np.uint64, out=self.sums[1:])
-        self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]))
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        self.kinds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+    def _sums(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        if kind not in self.kinds:
+            n, base = len(self.hashes), _BASES[kind]
+            hashes = _mix(self.hashes + np.uint64(base)) if kind else self.hashes
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(hashes * np.cumprod(np.full(n, base, np.uint64)), dtype=np.uint64, out=sums[1:])
+            self.kinds[kind] = sums, np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)]))
+        return self.kinds[kind]
+
+    def of(self, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
+        sums, back = self._sums(kind)
+        return _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
 def retained(words: list[bytes], min_words: int, k: int, reach: int) -> tuple[np.ndarray, ...]:
@@ -66,10 +73,11 @@ def retained(words: list[bytes], min_words: int, k: int, reach: int) -> tuple[np
     high = np.append(low[1:], len(chosen)) - 1
     p = chosen[low]
     first = roll.of(p, p + (min_words - reach + 1))
-    whole = _mix(roll.of(low, high + min_words) + (p - low).astype(np.uint64))
+    whole = _mix(roll.of(low, high + min_words, 1) + (p - low).astype(np.uint64))
     return p, low, high, first, whole
 
 
+@frugal
 def _retain(batches: Iterator[pa.RecordBatch], min_words: int, k: int, reach: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, cols = batch.column(0).to_numpy(zero_copy_only=False), []
@@ -85,6 +93,7 @@ ROLE_FULL, ROLE_EDGE, ROLE_EXTEND = 0, 1, 2
 NEIGHBOUR_SCHEMA = "role byte, edge boolean, first long, whole long, key long, p int, before short, after short, first_key long, first_p int"
 
 
+@frugal
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (first, whole, key, p). A run is the rows of equal (first, whole); what lies over the partition's edge is unknown."""
     names = ["first", "whole", "key", "p", "before", "after"]
@@ -143,6 +152,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RESOLVED_SCHEMA = "extend boolean, key long, a int, b int, later boolean"
 
 
+@frugal
 def _resolve(batches: Iterator[pa.RecordBatch], edges: dict[tuple[int, int], tuple[int, int, int]], min_words: int) -> Iterator[pa.RecordBatch]:
     """Matched stretches (a, b, whether they occur earlier) and, as extend, first and last window start of those to extend.
 
@@ -166,15 +176,17 @@ def _resolve(batches: Iterator[pa.RecordBatch], edges: dict[tuple[int, int], tup
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (out[0], out[1], out[2].astype(np.int32), out[3].astype(np.int32), out[4])], names=[x.split()[0] for x in RESOLVED_SCHEMA.split(", ")])
 
 
+@frugal
 def _windows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """(key, text, stretches) to (fingerprint, key, start) of each window of the stretches."""
+    """(key, text, stretches) to (both fingerprints, key, start) of each window of the stretches."""
     for batch in batches:
         out = []
         for key, text, stretches in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             start = np.unique(np.concatenate([np.arange(s["low"], s["high"] + 1) for s in stretches]))
-            out.append((Rolling(split_words(text.as_py())).of(start, start + min_words).view(np.int64), np.full(len(start), key, np.int64), start.astype(np.int32)))
+            roll = Rolling(split_words(text.as_py()))
+            out.append((*(roll.of(start, start + min_words, kind).view(np.int64) for kind in (0, 1)), np.full(len(start), key, np.int64), start.astype(np.int32)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["window", "key", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["window", "check", "key", "low"])
 
 
 def _unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -187,6 +199,7 @@ def _unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+@frugal
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
@@ -199,10 +212,10 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(documents: DataFrame) -> DataFrame:
     """documents with __key: doc_id where it names one row, else a negative hash of doc_id and text."""
-    again = materialize(documents.groupBy(F.col("doc_id").cast("long").alias("__again")).count().where("count > 1 and __again is not null").select("__again"), "again")
+    again = materialize(documents.groupBy(F.col("doc_id").cast("long").alias("__id")).count().where("count > 1 and __id is not null").select("__id", F.lit(True).alias("__again")), "again")
     own = F.lit(-1) - F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
-    rows = documents.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left")
-    return rows.withColumn("__key", F.when(F.col("__again").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).otherwise(own)).drop("__again")
+    rows = left_join(documents.withColumn("__id", F.col("doc_id").cast("long")), "__id", again)
+    return rows.withColumn("__key", F.when(F.col("__again").isNull() & F.col("__id").isNotNull(), F.col("__id")).otherwise(own)).drop("__again", "__id")
 
 
 def _find(keyed: DataFrame, min_words: int, k: int, reach: int) -> DataFrame:
@@ -219,11 +232,11 @@ def _find(keyed: DataFrame, min_words: int, k: int, reach: int) -> DataFrame:
     edges = {(r["first"], r["whole"]): (r["n"], r["lead"]["first_key"], r["lead"]["first_p"]) for r in rows}
     resolved = materialize(seen.mapInArrow(partial(_resolve, edges=edges, min_words=min_words), RESOLVED_SCHEMA), "resolved")
     whole = resolved.where("not extend").select("key", "a", "b", "later")
-    extend = resolved.where("extend")
+    extend = materialize(resolved.where("extend").select("key", "a", "b"), "extend")
     stretches = extend.groupBy("key").agg(F.collect_set(F.struct(F.col("a").alias("low"), F.col("b").alias("high"))).alias("stretches"))
-    windows = materialize(may_match(texts, "key", extend).dropDuplicates(["key"]).join(stretches, "key").select("key", "text", "stretches").mapInArrow(partial(_windows, min_words=min_words), "window long, key long, low int"), "windows")
-    shared = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("key", "low")).alias("lead")).where("n > 1")
-    partly = windows.join(shared, "window").select("key", F.col("low").alias("a"), (F.col("low") + min_words).alias("b"), (F.struct("key", "low") != F.col("lead")).alias("later"))
+    windows = materialize(may_match(texts, "key", extend).dropDuplicates(["key"]).join(stretches, "key").select("key", "text", "stretches").mapInArrow(partial(_windows, min_words=min_words), "window long, check long, key long, low int"), "windows")
+    shared = windows.groupBy("window", "check").agg(F.count("*").alias("n"), F.min(F.struct("key", "low")).alias("lead")).where("n > 1")
+    partly = windows.join(shared, ["window", "check"]).select("key", F.col("low").alias("a"), (F.col("low") + min_words).alias("b"), (F.struct("key", "low") != F.col("lead")).alias("later"))
     spans = whole.unionByName(partly).groupBy("key").agg(F.collect_set(F.struct("a", "b", "later")).alias("rows"))
     kind = "array<struct<start:int,end:int>>"
     return materialize(spans.mapInArrow(_spans, f"key long, spans {kind}, later {kind}"), "spans")
@@ -258,6 +271,7 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+@frugal
 def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """The last column holds the ranges to cut from the text in column at."""
     for batch in batches:
@@ -272,11 +286,11 @@ def drop_repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, r
     """
     columns = documents.columns
     keyed = _keyed(documents)
-    found = _find(keyed, min_words, k, reach).where(F.size("later") > 0).select(F.col("key").alias("__key"), "later")
-    joined = keyed.join(found, "__key", "left")
-    same = joined.where("later is null").select(columns)
+    found = materialize(_find(keyed, min_words, k, reach).where(F.size("later") > 0).select(F.col("key").alias("__key"), F.col("later").alias("__later")), "later")
+    joined = left_join(keyed, "__key", found)
+    same = joined.where("__later is null").select(columns)
     schema = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes)
-    cut = joined.where("later is not null").select(*columns, "later").mapInArrow(partial(_cut, at=columns.index("text")), schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = joined.where("__later is not null").select(*columns, "__later").mapInArrow(partial(_cut, at=columns.index("text")), schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
     return same.unionByName(cut)

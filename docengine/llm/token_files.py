@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import bounded_batches, materialize
+from docengine.llm.common import bounded_batches, frugal, materialize
 from docengine.llm.tokens import encoder, list_array, slices
 
 ROW_GROUP_BYTES = 16 << 20
@@ -29,6 +29,7 @@ OWN_IDS = 0.9
 SCHEMA = "doc_id long, part int, row int, part_start long, n_tokens long, ids array<int>"
 
 
+@frugal
 def _encode(batches: Iterator[pa.RecordBatch], path: str, byte_level: bool, end: int) -> Iterator[pa.RecordBatch]:
     part, row, total = TaskContext.get().partitionId(), 0, 0
     for piece in slices(batches, 1):
@@ -37,6 +38,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, byte_level: bool, end:
         place = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n, dtype=np.int32)), pa.array(total + at[:-1]), pa.array(np.diff(at))]
         yield pa.RecordBatch.from_arrays([piece.column(0), *place, list_array(flat, at)], names=[f.split()[0] for f in SCHEMA.split(", ")])
         row, total = row + n, total + int(at[-1])
+    encoder(path, byte_level, end).forget()
 
 
 def write_token_files(documents: DataFrame, path: str, tokenizer: str, end: int, byte_level: bool = True, partitions: int | None = None) -> None:

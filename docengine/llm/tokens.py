@@ -17,11 +17,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from docengine.llm.common import frugal
+
 #: Bounds of what a worker remembers: pieces, and bytes of pieces and ids together. Beyond, it starts anew.
 KNOWN_PIECES = 500_000
 KNOWN_BYTES = 48 << 20
 #: Texts are encoded in slices of about so many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Pieces of one call of the library.
 CALL_PIECES = 1000
 
@@ -79,9 +81,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.byte_level, self.end = byte_level, end
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Slot 0 is the end id."""
         self.slots: dict[bytes, int] = {}
         self.sizes, self.ids, self.held, self.bytes = np.ones(1, np.int64), np.array([self.end], np.uint32), 1, 0
@@ -135,7 +137,7 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
         distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.slots) > KNOWN_PIECES or self.bytes + 4 * len(self.ids) > KNOWN_BYTES:
-            self._forget()
+            self.forget()
         if new := [p for p in distinct if p not in self.slots]:
             self._learn(new)
         known = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))
@@ -171,6 +173,7 @@ def list_array(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int32)))
 
 
+@frugal
 def _crc(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     import zlib
 
