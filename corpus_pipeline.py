@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docengine.llm import minhash, mixing, packing, quality, suffix_dedup
-from docengine.llm.common import materialize
+from docengine.llm.common import materialize, release
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed pieces of all documents, with their ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    """Packed pieces of all documents, with their ids, sequences and step groups."""
+    return packing.with_step_groups(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end=2))
 
 
 STAGES = [
@@ -50,7 +50,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. Intermediate tables are deleted as soon as the next stage is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = release(spark, since=None)
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, since=made, keep=1)
     return docs
