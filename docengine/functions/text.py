@@ -19,6 +19,8 @@ COMBINING = "[\\u0300-\\u036f\\u1ab0-\\u1aff\\u1dc0-\\u1dff\\u20d0-\\u20ff\\ufe2
 INVISIBLE = "﻿‎‏‪‫‬‭‮⁦⁧⁨⁩"
 #: Fixed value: scripts written from right to left.
 RTL = "[\\u0590-\\u08ff\\ufb1d-\\ufdff\\ufe70-\\ufeff]"
+#: Fixed value: the white space of Unicode, as a character class of both Java's and DuckDB's patterns.
+SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Fixed value: characters beyond which texts are cut before comparison.
 COMPARE_CAP = 32768
 
@@ -46,11 +48,23 @@ def fold_for_search(text: Column) -> Column:
     return F.regexp_replace(fold(F.lower(replace_all(text, {"\u00ad": ""} | SEARCH_LIGATURES))), COMBINING, "")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def has_text(text: Column) -> Column:
+    """Whether anything but white space is there."""
+    return text.rlike(f"[^{SPACE}]")
+
+
 def normalize_for_compare(text: Column) -> Column:
-    """Invisible marks dropped, line ends unified, soft hyphens dropped, hyphenated breaks joined, ligatures spelt out, white space collapsed."""
-    out = F.translate(text, INVISIBLE, "")
-    out = replace_all(out, {"\r\n": "\n", "\r": "\n", "­": "", "-\n": ""} | LIGATURES)
-    return F.trim(F.regexp_replace(out, "[ \\t\\n\\x0B\\f\\r]+", " "))
+    """Line ends unified, line breaks after a hyphen between letters or digits joined, invisible marks and soft hyphens dropped,
+    ligatures spelt out, white space of any kind collapsed and stripped."""
+    out = replace_all(text, {"\r\n": "\n", "\r": "\n"})
+    out = F.regexp_replace(out, r"(?<=[\p{L}\p{N}])-\n(?=[\p{L}\p{N}])", "")
+    out = replace_all(F.translate(out, INVISIBLE + "\u00ad", ""), LIGATURES)
+    return F.trim(F.regexp_replace(out, f"[{SPACE}]+", " "))
 
 
 def match_count(text: Column, needle: str) -> Column:
@@ -75,10 +89,26 @@ def rtl_share(text: Column) -> Column:
 def csv_field(value: Column) -> Column:
     """Quoted where a comma, a quote, a line break or outer white space asks for it."""
     value = F.coalesce(value, F.lit(""))
-    risky = value.rlike('[,"\\n\\r]') | (value != F.trim(value))
+    risky = value.rlike('[,"\\n\\r]') | value.rlike(f"^[{SPACE}]|[{SPACE}]$")
     return F.when(risky, F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
 
 
+def parse_csv(text: Column) -> Column:
+    """The rows of a CSV text, each an array of fields; blank lines are none.
+
+    Quotes may begin anywhere in a field and end with the line at the latest; two of them inside quotes stand for one.
+    """
+    rows = F.filter(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n", -1), has_text)
+
+    def fields(line: Column) -> Column:
+        unclosed = F.regexp_count(line, F.lit('"')) % 2 == 1
+        closed = F.concat(line, F.when(unclosed, '"').otherwise(""), F.lit(","))
+        raw = F.regexp_extract_all(closed, F.lit('((?:[^",]++|"[^"]*+(?:""[^"]*+)*+")*+),'), F.lit(1))
+        return F.transform(raw, lambda x: F.replace(F.regexp_replace(x, '"([^"]*+(?:""[^"]*+)*+)"', "$1"), F.lit('""'), F.lit('"')))
+
+    return F.transform(rows, fields)
+
+
 def page_separator(number: Column, total: Column) -> Column:
     return F.concat(F.lit("--- page "), number.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" ---"))
 
@@ -112,14 +142,15 @@ def roman(value: Column) -> Column:
 
 def alphabetic(value: Column) -> Column:
     """Bijective base 26: 1 is A, 26 is Z, 27 is AA; null below 1."""
-    def letter(n: Column) -> Column:
-        return F.char(F.lit(64) + n)
+    start = F.struct(value.cast("long").alias("n"), F.lit("").alias("text"))
 
-    def more(n: Column, depth: int) -> Column:
-        tail = letter((n - 1) % 26 + 1)
-        return tail if not depth else F.when(n <= 26, tail).otherwise(F.concat(more(F.floor((n - 1) / 26), depth - 1), tail))
+    def step(s: Column, _: Column) -> Column:
+        letter = F.char(F.lit(65) + F.pmod(s["n"] - 1, F.lit(26)))
+        more = F.struct(F.call_function("div", s["n"] - 1, F.lit(26)).alias("n"), F.concat(letter, s["text"]).alias("text"))
+        return F.when(s["n"] >= 1, more).otherwise(s)
 
-    return F.when(value >= 1, more(value, 3))
+    # fourteen letters count beyond any long
+    return F.when(value >= 1, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda s: s["text"]))
 
 
 def list_marker(line: Column) -> Column:

@@ -5,16 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.functions import text as T
+
 
 def parse_selection(spec: Column, count: Column) -> Column:
-    """'1,3-5' to distinct 1-based pages in the order given; pages beyond count and empty parts are left out."""
-    def part(p: Column) -> Column:
-        lo, hi = F.try_element_at(F.split(p, "-"), F.lit(1)).try_cast("long"), F.try_element_at(F.split(p, "-"), F.lit(-1)).try_cast("long")
-        known = lo.isNotNull() & hi.isNotNull()
-        lo, hi = F.greatest(lo, F.lit(1)), F.least(hi, count)
-        return F.when(known & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    """'1,3-5' to (pages, error): distinct 1-based pages in the order given, or null pages and what is wrong.
+
+    An empty or null selection takes all pages. What is no number, lies outside of the document or runs backwards is refused.
+    """
+    def number(x: Column) -> Column:
+        x = T.strip(x)
+        return F.when(x.rlike("^[+]?[0-9]+$"), x.try_cast("long"))
+
+    def wrong(x: Column) -> Column:
+        n = number(x)
+        outside = F.concat(F.lit("page "), n.cast("string"), F.lit(" is outside this document (1-"), count.cast("string"), F.lit(")"))
+        return F.when(n.isNull(), F.concat(F.lit('"'), T.strip(x), F.lit('" is not a page number'))).when((n < 1) | (n > count), outside)
 
-    return F.array_distinct(F.flatten(F.transform(F.split(F.replace(spec, F.lit(" "), F.lit("")), ","), part)))
+    def part(p: Column) -> Column:
+        first = F.substring_index(p, "-", 1)
+        last = F.when(F.contains(p, F.lit("-")), F.substr(p, F.length(first) + 2)).otherwise(p)
+        backward = F.when(number(first) > number(last), F.concat(F.lit('page range "'), p, F.lit('" runs backwards')))
+        error = F.coalesce(wrong(first), wrong(last), backward)
+        return F.struct(error.alias("error"), F.when(error.isNull(), F.sequence(number(first), number(last))).alias("pages"))
+
+    text = T.strip(F.coalesce(spec, F.lit("")))
+    parts = F.transform(F.filter(F.transform(F.split(text, ","), T.strip), lambda p: p != ""), part)
+    every = F.when(count >= 1, F.sequence(F.lit(1).cast("long"), count)).otherwise(F.array().cast("array<bigint>"))
+    error = F.try_element_at(F.filter(F.transform(parts, lambda p: p["error"]), lambda e: e.isNotNull()), F.lit(1))
+    error = F.when(text == "", F.lit(None)).when(count < 1, "the document has no pages").when(F.size(parts) == 0, "no pages selected").otherwise(error)
+    chosen = F.when(text == "", every).when(error.isNull(), F.array_distinct(F.flatten(F.transform(parts, lambda p: p["pages"]))))
+    return F.struct(chosen.alias("pages"), error.alias("error"))
 
 
 def numbered(rows: DataFrame, by: list[str], order: list) -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BANDS = (0.75, 0.95, 0.98, 0.99)
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-def classify(ours: Column, theirs: Column, sim: Column) -> Column:
-    """Outcome of a full outer join of results: who lacks a text, else how near the texts are."""
+def classify(ours: Column, theirs: Column, sim: Column, ours_late: Column | None = None, theirs_late: Column | None = None) -> Column:
+    """Outcome of a full outer join of results: who has no result, then whose text is empty, then how near the texts are.
+
+    A null text is a refusal, or a timeout where the late flag of its side is set; if both sides have none, both reject.
+    """
+    late = [F.lit(False) if x is None else F.coalesce(x, F.lit(False)) for x in (ours_late, theirs_late)]
     return (
-        F.when(ours.isNull() & theirs.isNull(), "both-failed").when(ours.isNull(), "ours-failed").when(theirs.isNull(), "theirs-failed").when((ours == "") & (theirs == ""), "both-empty")
-        .when(sim >= 0.98, "match").when(sim >= 0.75, "near").otherwise("differs")
+        F.when(ours.isNull() & theirs.isNull(), "both-reject").when(ours.isNull(), F.when(late[0], "ours-timeout").otherwise("ours-rejects")).when(theirs.isNull(), F.when(late[1], "theirs-timeout").otherwise("theirs-rejects"))
+        .when((ours == "") & (theirs == ""), "empty-both").when(ours == "", "empty-ours").when(theirs == "", "empty-theirs")
+        .when(sim >= 0.99, "match").when(sim >= 0.95, "diff<5").when(sim >= 0.75, "diff<25").otherwise("diff>=25")
     )
 
 
@@ -30,8 +35,11 @@ def percentiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def clusters(rows: DataFrame, signature: str, key: str, weight: Column) -> DataFrame:
     """Rows, distinct keys, their weights and three smallest keys of each signature."""
     per_key = rows.groupBy(signature, key).agg(F.count("*").alias("c"), F.max(weight).alias("w"))
-    smallest = F.slice(F.sort_array(F.collect_list(key)), 1, 3)
-    return per_key.groupBy(signature).agg(F.sum("c").alias("outcomes"), F.count("*").alias("files"), F.sum("w").alias("weighted"), F.array_join(smallest.cast("array<string>"), ",").alias("examples"))
+    sums = per_key.groupBy(signature).agg(F.sum("c").alias("outcomes"), F.count("*").alias("files"), F.sum("w").alias("weighted"))
+    # ranks are cut before the shuffle, so no group is gathered
+    rank = F.row_number().over(Window.partitionBy(signature).orderBy(key))
+    first = per_key.withColumn("rank", rank).where("rank <= 3").groupBy(signature).agg(F.array_join(F.sort_array(F.collect_list(key)).cast("array<string>"), ",").alias("examples"))
+    return sums.join(first, signature)
 
 
 def evaluate(documents: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

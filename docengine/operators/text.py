@@ -9,20 +9,25 @@ from docengine.functions import text as T
 
 
 def page_quality(lines: DataFrame) -> DataFrame:
-    """Characters, lines and the low-confidence flag (nothing but blanks) of each page."""
-    return lines.groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("characters"), F.count("*").alias("lines"), (F.max((F.trim("text") != "").cast("int")) == 0).alias("low_confidence"))
+    """Characters and lines of each page, and its low-confidence flag: it drew something, of which only white space came out.
+
+    A page that drew nothing is blank, which is another thing. drew is a column of lines, if there is one; else what has
+    characters was drawn.
+    """
+    drew = F.bool_or("drew") if "drew" in lines.columns else F.sum(F.length("text")) > 0
+    return lines.groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("characters"), F.count("*").alias("lines"), (drew & ~F.bool_or(T.has_text(F.col("text")))).alias("low_confidence"))
 
 
 def extraction_quality(pages: DataFrame) -> DataFrame:
     """Totals of each document and its verdict: low-confidence before empty before ok."""
     total = pages.groupBy("doc_id").agg(
-        F.count("*").alias("pages"), F.sum("characters").alias("characters"), F.count_if(F.col("characters") == 0).alias("blank_pages"), F.count_if((F.col("characters") > 0) & ~F.col("low_confidence")).alias("text_pages"), F.count_if(F.col("low_confidence") & (F.col("characters") > 0)).alias("low_pages")
+        F.count("*").alias("pages"), F.sum("characters").alias("characters"), F.count_if(F.col("characters") == 0).alias("blank_pages"), F.count_if((F.col("characters") > 0) & ~F.col("low_confidence")).alias("text_pages"), F.count_if("low_confidence").alias("low_pages")
     )
     return total.withColumn("verdict", F.when(F.col("low_pages") > 0, "low-confidence").when(F.col("characters") == 0, "empty").otherwise("ok"))
 
 
 def to_markdown(lines: DataFrame) -> DataFrame:
-    kept = lines.select("doc_id", "line", F.trim("text").alias("t")).where("t <> ''")
+    kept = lines.select("doc_id", "line", T.strip(F.col("text")).alias("t")).where("t <> ''")
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "t"))), lambda r: r["t"]), "\n\n").alias("markdown"))
 
 

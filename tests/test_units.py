@@ -40,10 +40,19 @@ def test_filter_errors_stay_in_their_row(spark):
 def test_text(spark):
     r = one(spark, a=T.similarity(F.lit("abc"), F.lit("abd")), b=T.similarity(F.lit(""), F.lit("")), c=T.normalize_for_compare(F.lit("a-\r\nb  ﬁ­x")), d=T.fold_for_search(F.lit("ÉCOLE ﬅ")), e=T.csv_field(F.lit('a"b')), f=T.is_rule(F.lit("- - -")), g=T.heading_level(F.lit("Title"), F.lit(14.0), F.lit(10.0)), h=T.match_count(F.lit("aAaA"), "aa"))
     assert (r.a, r.b, r.c, r.e, r.f, r.g, r.h) == (0.6667, 1.0, "ab fix", '"a""b"', True, 1, 2)
-    assert r.d.endswith("ft")
-    got = spark.createDataFrame([(n,) for n in (1, 4, 26, 27, 52, 702, 703, 1994, 3999, 4000, 0)], "n long").select("n", T.roman(F.col("n")).alias("r"), T.alphabetic(F.col("n")).alias("a")).collect()
-    assert [x.r for x in got] == ["I", "IV", "XXVI", "XXVII", "LII", "DCCII", "DCCIII", "MCMXCIV", "MMMCMXCIX", None, None]
+    assert r.d == "ecole ft"
+    hyphens = ["well-\nknown", "- \nx", "a -\nb", "a-\n b", "1-\n2", "a-\nb-\nc", "\u00a0x\u2003\u2003y\u3000", "so\u00adft"]
+    got = spark.createDataFrame([(x,) for x in hyphens], "x string").select(T.normalize_for_compare(F.col("x")).alias("n")).collect()
+    assert [x.n for x in got] == ["wellknown", "- x", "a - b", "a- b", "12", "abc", "x y", "soft"]
+    quoted = spark.createDataFrame([(x,) for x in ("\tx", "x\u00a0", "x y", None)], "x string").select(T.csv_field(F.col("x")).alias("c")).collect()
+    assert [x.c for x in quoted] == ['"\tx"', '"x\u00a0"', "x y", ""]
+    texts = ['a,b\r\n\n"x, ""y""",z\n', 'a"b"c,"d', '"a"b""c,,', "", " \t\n", 'é"",x']
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select(T.parse_csv(F.col("x")).alias("c")).collect()
+    assert [x.c for x in got] == [[["a", "b"], ['x, "y"', "z"]], [["abc", "d"]], [["abc", "", ""]], [], [], [["é", "x"]]]
+    got = spark.createDataFrame([(n,) for n in (1, 4, 26, 27, 52, 702, 703, 1994, 3999, 4000, 475255, 2**63 - 1, 0)], "n long").select("n", T.roman(F.col("n")).alias("r"), T.alphabetic(F.col("n")).alias("a")).collect()
+    assert [x.r for x in got] == ["I", "IV", "XXVI", "XXVII", "LII", "DCCII", "DCCIII", "MCMXCIV", "MMMCMXCIX", None, None, None, None]
     assert [x.a for x in got][:7] == ["A", "D", "Z", "AA", "AZ", "ZZ", "AAA"] and got[-1].a is None
+    assert got[10].a == "AAAAA" and sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(got[11].a))) == 2**63 - 1
 
 
 def test_geometry(spark):
@@ -53,8 +62,11 @@ def test_geometry(spark):
 
 
 def test_pages(spark):
-    r = one(spark, s=pages.parse_selection(F.lit("3, 1-2,2,9-4,x"), F.lit(5).cast("long")))
-    assert r.s == [3, 1, 2]
+    specs = ["3, 1-2,2", "4-2", "x", "1,6", "0", " ", None, ",,", "2-", " 2 - 4 ,"]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in specs], "x string").select(pages.parse_selection(F.col("x"), F.lit(5).cast("long")).alias("s")).collect()]
+    assert [r.pages for r in got] == [[3, 1, 2], None, None, None, None, [1, 2, 3, 4, 5], [1, 2, 3, 4, 5], None, None, [2, 3, 4]]
+    assert [r.error for r in got[1:5]] == ['page range "4-2" runs backwards', '"x" is not a page number', "page 6 is outside this document (1-5)", "page 0 is outside this document (1-5)"]
+    assert [r.error for r in got[5:]] == [None, None, "no pages selected", '"" is not a page number', None]
     rows = spark.createDataFrame([("a", 0), ("b", 1), ("a", 2), ("a", 3)], "name string, seq int")
     assert [x.unique_name for x in pages.unique_names(rows, [], "name", ["seq"]).orderBy("seq").collect()] == ["a", "b", "a-2", "a-3"]
 
@@ -73,6 +85,10 @@ def test_graph_cycles(spark):
     assert sorted(r.node for r in graph.reachable(edges, spark.createDataFrame([(1,)], "node long")).collect()) == [1, 2, 3]
     rows = spark.createDataFrame([(1, None, 0, "r"), (2, 1, 0, "a"), (3, 2, 1, "b"), (8, 9, 0, "loop"), (9, 8, 0, "loop")], "id long, parent long, ord int, title string")
     assert sorted((r.id, r.depth) for r in graph.tree(rows).collect()) == [(1, 0), (2, 1), (3, 2)]
+    chain = spark.createDataFrame([(i, i - 1 if i else None, 0, "x") for i in range(40)], "id long, parent long, ord int, title string")
+    assert graph.tree(chain).count() == 40
+    with pytest.raises(ValueError, match="deeper than 32"):
+        graph.tree(chain, 32)
 
 
 def test_blocks():
@@ -102,7 +118,10 @@ def test_objects(spark):
 
 def test_sweep(spark):
     r = one(spark, a=sweep.classify(F.lit(None), F.lit("x"), F.lit(None)), b=sweep.classify(F.lit("x"), F.lit("x"), F.lit(1.0)))
-    assert (r.a, r.b) == ("ours-failed", "match")
+    assert (r.a, r.b) == ("ours-rejects", "match")
+    sides = [("x", "x", 0.99), ("x", "x", 0.98), ("x", "x", 0.949), ("x", "x", 0.74), ("", "", 1.0), ("", "x", 0.0), ("x", "", 0.0), ("x", None, None), (None, None, None)]
+    got = spark.createDataFrame(sides, "a string, b string, sim double").select(sweep.classify(F.col("a"), F.col("b"), F.col("sim")).alias("o"), sweep.classify(F.col("a"), F.col("b"), F.col("sim"), F.lit(True), F.lit(True)).alias("late")).collect()
+    assert [x.o for x in got] == ["match", "diff<5", "diff<25", "diff>=25", "empty-both", "empty-ours", "empty-theirs", "theirs-rejects", "both-reject"] and got[7].late == "theirs-timeout"
 
 
 def test_transfers(spark, tmp_path):
