@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import materialize
 
-MAX_ROUNDS = 60
-
-
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], int(row["h"] or 0)
@@ -36,13 +33,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     low, high = F.least(a, b), F.greatest(a, b)
     now = materialize(edges.where(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct(), "edges")
     mark = _mark(now)
-    for _ in range(MAX_ROUNDS):
-        if not mark[0]:
-            break
+    before = None
+    while mark[0] and mark != before:  # every step lowers some label until nothing changes
         now = materialize(_small_star(_large_star(now)), "edges")
         mark, before = _mark(now), mark
-        if mark == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -177,3 +177,10 @@ def test_repeats_cut_and_odd_rows(odd, empty):
     assert 5 in ids and 6 not in ids  # the later copy has nothing left
     assert suffix_dedup.repeated_passages(empty).count() == 0
     assert suffix_dedup.cut_words(b" a  b\nc d ", [(1, 3)]) == b" a  d "
+
+
+def test_columns_named_like_those_of_the_operator(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, f"a {passage} b", 7, True), (2, f"c {passage} d", 8, None), (3, None, 9, False)], "doc_id long, text string, spans long, later boolean")
+    got = {r.doc_id: tuple(r) for r in suffix_dedup.drop_repeats(rows).collect()}
+    assert got == {1: (1, f"a {passage} b", 7, True), 2: (2, "c d", 8, None), 3: (3, None, 9, False)}

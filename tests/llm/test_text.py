@@ -62,3 +62,8 @@ def test_licences(spark, odd, empty):
     rows = spark.createDataFrame([(1, far), (2, "plain words"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.families for r in licences.scan_licences(rows).collect()} == {1: "MIT", 2: "", 3: ""}
     assert licences.scan_licences(odd).count() == odd.count() and licences.scan_licences(empty).count() == 0
+
+
+def test_rows_without_conversation_stand_alone(spark):
+    rows = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (4, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    assert sorted((r.conv_id or 0, r.n_turns) for r in chat.format_chats(rows).collect()) == [(0, 1), (0, 1), (0, 1), (4, 1)]
