@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from docengine.functions import geometry as G
 from docengine.functions import text as T
-from docengine.operators import blocks, graph, pages, ranges, sweep, text
+from docengine.operators import blocks, graph, layout, pages, ranges, sweep, text
+from docengine.sources.glyphs import typeset
 from docengine.sources.tables import lines, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -544,3 +545,85 @@ def matrices(spark: SparkSession, d: str) -> DataFrame:
     m = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("abcdef", (2, 0, 0, -1, 3, 5), strict=True)])
     at = G.apply(m, F.col("p_size"), F.col("p_size"))
     return table(spark, d, "part").select("p_partkey", G.quarter_turns(F.col("p_size") % 4 * 90 + 360).alias("turn"), F.sha2("p_name", 256).alias("digest"), at["x"].alias("x"), at["y"].alias("y"))
+
+
+# layout of glyphs
+
+#: Glyphs as in typeset(), with the one before each of them, their words and their lines.
+GLYPHS = f"""{L}, t AS (SELECT doc_id, page, line % 40 AS i, regexp_extract_all(text, '(?s).') AS cs FROM p), c AS (SELECT doc_id, page, i, unnest(cs) AS ch, unnest(range(len(cs))) AS j FROM t),
+z AS (SELECT *, doc_id % 7 = 3 AS up, CASE WHEN doc_id % 2 = 0 THEN i % 20 ELSE i END AS row, CASE WHEN i = 0 THEN 16.0::DOUBLE WHEN i % 9 = 5 THEN 11.0 ELSE 10.0 END AS size FROM c WHERE ch <> ' ' OR i % 2 = 0),
+y AS (SELECT *, j * (size / 2) + 72 AS a, row * 14.0::DOUBLE + row // 8 * 12 AS b, CASE WHEN doc_id % 2 = 0 AND i >= 20 THEN 65536.0::DOUBLE ELSE 0 END AS k FROM z),
+g AS (SELECT doc_id, page, i, j, ch, size, up, i // 4 AS mcid, CASE WHEN up THEN b + k ELSE a + k END AS x, CASE WHEN up THEN a ELSE 720 - b END AS y, regexp_matches(ch, '^[A-Z]$') AS bold FROM y),
+v AS (SELECT *, lag(ch) OVER w AS pc, lag(size) OVER w AS ps, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(bold) OVER w AS pb FROM g WINDOW w AS (PARTITION BY doc_id, page ORDER BY i, j)),
+u AS (SELECT *, abs(CASE WHEN up THEN x - px ELSE y - py END) AS across, CASE WHEN up THEN y - py ELSE x - px END AS along FROM v),
+s AS (SELECT *, pc IS NULL OR pc = ' ' OR across > ps * 0.5 OR along - ps / 2 > ps / 4 * 0.5 AS begins FROM u), f AS (SELECT *, begins OR pb <> bold OR ps <> size OR across > size * 0.5 AS run FROM s WHERE ch <> ' '),
+m AS (SELECT *, CAST(sum(CAST(begins AS INT)) OVER (PARTITION BY doc_id, page ORDER BY i, j) AS BIGINT) - 1 AS word FROM f),
+words AS MATERIALIZED (SELECT doc_id, page, word, string_agg(ch, '' ORDER BY i, j) AS text, count_if(run) AS runs, max(size) AS size, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, bool_or(up) AS up,
+arg_min(x, i * 1000000 + j) AS gx, arg_min(y, i * 1000000 + j) AS gy, arg_min(size, i * 1000000 + j) AS gs, min(mcid) AS mcid FROM m GROUP BY doc_id, page, word)"""
+LINES = f"""WITH RECURSIVE {GLYPHS}, starts AS (SELECT doc_id, page, 0::BIGINT AS word FROM words WHERE word = 0
+UNION ALL SELECT w.doc_id, w.page, min(w.word) FROM starts JOIN words h USING (doc_id, page, word) JOIN words w ON w.doc_id = starts.doc_id AND w.page = starts.page AND w.word > starts.word
+AND abs(CASE WHEN h.up THEN (w.x0 + w.x1) / 2 - h.gx ELSE (w.y0 + w.y1) / 2 - h.gy END) > w.gs * 0.5 GROUP BY w.doc_id, w.page),
+spans AS (SELECT *, row_number() OVER q - 1 AS line, coalesce(lead(word) OVER q, 1000000000) AS last FROM starts WINDOW q AS (PARTITION BY doc_id, page ORDER BY word)),
+tl AS MATERIALIZED (SELECT s.doc_id, s.page, line, string_agg(text, ' ' ORDER BY w.word) AS text, count(*) AS words, max(size) AS size, arg_min(mcid, w.word) AS mcid, min(CASE WHEN w.word = s.word THEN x0 ELSE x1 END) AS x0,
+min(CASE WHEN w.word = s.word THEN y0 ELSE y1 END) AS y0, max(x1) AS x1, max(y1) AS y1 FROM spans s JOIN words w ON w.doc_id = s.doc_id AND w.page = s.page AND w.word >= s.word AND w.word < s.last GROUP BY s.doc_id, s.page, line)"""
+
+
+def glyph_lines(spark: SparkSession, d: str) -> DataFrame:
+    return layout.lines_of(layout.words(typeset(table(spark, d, "documents"))))
+
+
+@query(f"WITH {GLYPHS} SELECT doc_id, page, count(*) AS words, CAST(sum(runs) AS BIGINT) AS runs, md5(string_agg(text, '|' ORDER BY word)) AS digest, sum(x0 + y0) AS low, sum(x1 + y1) AS high FROM words GROUP BY doc_id, page")
+def glyph_words(spark: SparkSession, d: str) -> DataFrame:
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "text"))), lambda r: r["text"]), "|")
+    return layout.words(typeset(table(spark, d, "documents"))).groupBy(*layout.PAGE).agg(F.count("*").alias("words"), F.sum("runs").alias("runs"), F.md5(texts).alias("digest"), F.sum(F.expr("x0 + y0")).alias("low"), F.sum(F.expr("x1 + y1")).alias("high"))
+
+
+@query(LINES + " SELECT doc_id, page, line, md5(text) AS digest, words, size, mcid, x0, y0, x1, y1 FROM tl")
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    return glyph_lines(spark, d).select(*layout.PAGE, "line", F.md5("text").alias("digest"), F.size("words").cast("long").alias("words"), "size", "mcid", "x0", "y0", "x1", "y1")
+
+
+@query(LINES + """, cen AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, quantile_cont(abs(x1 - x0), 0.5) OVER (PARTITION BY doc_id, page) AS med FROM tl), gap AS (SELECT *, lag(cx) OVER (PARTITION BY doc_id, page ORDER BY cx, line) AS pcx FROM cen),
+edge AS (SELECT doc_id, page, (pcx + cx) / 2 AS e FROM gap WHERE cx - pcx > 1.5 * med), bound AS (SELECT doc_id, page, e FROM edge UNION ALL SELECT doc_id, page, min(x0) FROM tl GROUP BY ALL UNION ALL SELECT doc_id, page, max(x1) FROM tl GROUP BY ALL),
+wide AS (SELECT *, lead(e) OVER (PARTITION BY doc_id, page ORDER BY e) - e AS width FROM bound), sure AS (SELECT w.doc_id, w.page, count(width) AS cols, min(width) AS least FROM wide w GROUP BY ALL),
+placed AS (SELECT c.doc_id, c.page, c.line, c.cy, c.med, (SELECT count(*) FROM edge WHERE edge.doc_id = c.doc_id AND edge.page = c.page AND edge.e < c.cx) AS col FROM cen c)
+SELECT doc_id, page, line, col AS "column", row_number() OVER (PARTITION BY doc_id, page ORDER BY col, cy DESC, line) - 1 AS position, CASE WHEN cols = 1 THEN 0.8 WHEN cols > 3 OR least < 0.3 * med THEN 0.4 ELSE 0.7 END::DOUBLE AS confidence FROM placed JOIN sure USING (doc_id, page)""")
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    return layout.reading_order(glyph_lines(spark, d)).select(*layout.PAGE, "line", "column", "position", "confidence")
+
+
+@query(LINES + " SELECT doc_id, page, line, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN mcid <= doc_id % 8 THEN 7 - mcid END NULLS LAST, line) - 1 AS position FROM tl")
+def structure_order(spark: SparkSession, d: str) -> DataFrame:
+    order = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 8)).alias("mcid")).withColumn("rank", 7 - F.col("mcid"))
+    return layout.structure_order(glyph_lines(spark, d), order).select(*layout.PAGE, "line", "position")
+
+
+@query(LINES + f""", st AS (SELECT *, regexp_replace(text, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') AS t, list_sort(list(size) OVER (PARTITION BY doc_id, page)) AS sizes FROM tl),
+hd AS (SELECT *, size / sizes[len(sizes) // 2 + 1] AS ratio FROM st WHERE t <> ''), hl AS (SELECT *, CASE WHEN length(t) > 120 OR regexp_matches(t, '[.,;:]$') THEN 0 WHEN ratio >= 1.35 THEN 1 WHEN ratio >= 1.18 THEN 2 WHEN ratio >= 1.06 THEN 3 ELSE 0 END AS heading FROM hd),
+pv AS (SELECT *, lag(x0) OVER q AS lx, lag(y0) OVER q AS ly, lag(size) OVER q AS ls, lag(heading) OVER q AS lh FROM hl WINDOW q AS (PARTITION BY doc_id, page ORDER BY line)), ht AS (SELECT *, greatest(size, ls, 1) AS h FROM pv),
+pn AS (SELECT *, sum(CASE WHEN lh = heading AND heading <> 1 AND ly - y0 BETWEEN -h AND h * 1.6 AND abs(x0 - lx) <= h * 0.9 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY line) - 1 AS paragraph FROM ht)
+SELECT doc_id, page, CAST(paragraph AS BIGINT) AS paragraph, min(heading) AS heading, md5(string_agg(t, ' ' ORDER BY line)) AS digest FROM pn GROUP BY doc_id, page, paragraph""")
+def layout_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return layout.paragraphs(glyph_lines(spark, d)).select(*layout.PAGE, "paragraph", "heading", F.md5("text").alias("digest"))
+
+
+# tables, articles and their report are held against small pages in the tests
+
+@query(None)
+def layout_tables(spark: SparkSession, d: str) -> DataFrame:
+    return layout.tables(glyph_lines(spark, d))
+
+
+@query(None)
+def layout_tables_csv(spark: SparkSession, d: str) -> DataFrame:
+    return layout.tables_csv(layout.tables(glyph_lines(spark, d)))
+
+
+@query(None)
+def layout_table_report(spark: SparkSession, d: str) -> DataFrame:
+    return layout.table_report(table(spark, d, "documents"), layout.tables(glyph_lines(spark, d)))
+
+
+@query(None)
+def layout_article(spark: SparkSession, d: str) -> DataFrame:
+    return layout.article(layout.paragraphs(glyph_lines(spark, d)))
