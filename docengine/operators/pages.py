@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
+from docengine.sources.tables import paged
 
 
 def parse_selection(spec: Column, count: Column) -> Column:
@@ -62,31 +63,39 @@ def mix_inputs(rows: DataFrame, group: str, source: str) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy("page", source)).cast("long"))
 
 
-def split_by_text(lines: DataFrame, needle: str) -> DataFrame:
+def split_by_text(documents: DataFrame, needle: str) -> DataFrame:
     """(doc_id, page, part): a part begins at each page but the first with a line that contains needle, whatever its case.
 
-    Documents without such a page are left out.
+    Documents without such a page are left out. White space around needle does not count; nothing else is refused.
     """
-    hit = F.max(F.contains(F.lower("text"), F.lit(needle.lower())).cast("int"))
-    pages = lines.groupBy("doc_id", "page").agg(hit.alias("hit"))
-    w = Window.partitionBy("doc_id")
-    starts = F.when(F.col("page") > 0, F.col("hit")).otherwise(0)
-    return pages.withColumn("part", F.sum(starts).over(w.orderBy("page"))).withColumn("parts", F.max("part").over(w.orderBy("page").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("parts > 0").select("doc_id", "page", "part")
-
-
-def split_by_size(lines: DataFrame, target: int) -> DataFrame:
-    """(doc_id, line, size, part, oversize): greedy runs of lines whose sizes stay within target; a larger line stands alone."""
-    sized = lines.select("doc_id", "line", F.octet_length("text").cast("long").alias("size"))
-    rows = sized.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "size"))).alias("rows"))
-    start = F.struct(F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("parts"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["part"] < 0) | (s["used"] + x["size"] > target)
-        part = s["part"] + new.cast("long")
-        return F.struct(part.alias("part"), (F.when(new, 0).otherwise(s["used"]) + x["size"]).alias("used"), F.array_append(s["parts"], part).alias("parts"))
-
-    packed = rows.select("doc_id", F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step)["parts"].alias("part"))).alias("r"))
-    return packed.select("doc_id", F.col("r.rows.line").alias("line"), F.col("r.rows.size").alias("size"), F.col("r.part").alias("part"), (F.col("r.rows.size") > target).alias("oversize"))
+    needle = needle.strip().lower()
+    if not needle:
+        raise ValueError("nothing to look for")
+    hits = paged(F.col("text"), lambda _, ls: F.exists(ls, lambda t: F.contains(F.lower(t), F.lit(needle))))
+    rows = documents.select("doc_id", hits.alias("hits")).withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda p: (p == 0) | F.get("hits", p))).where(F.size("starts") > 1)
+    ends = F.array_append(F.slice("starts", 2, F.size("starts")), F.size("hits"))
+    parts = rows.select("doc_id", F.posexplode(F.transform(F.arrays_zip(F.col("starts"), ends.alias("ends")), lambda s: F.sequence(s["starts"], s["ends"] - 1))).alias("part", "pages"))
+    return parts.select("doc_id", F.explode(F.col("pages").cast("array<bigint>")).alias("page"), F.col("part").cast("long").alias("part"))
+
+
+def split_by_size(documents: DataFrame, target: int) -> DataFrame:
+    """(doc_id, line, size, part, oversize): greedy runs of lines whose sizes stay within target; a larger line stands alone.
+
+    A document is cut within its row; only a part's beginning extends the state.
+    """
+    sizes = F.transform(F.split("text", "\n", -1), lambda t: F.octet_length(t).cast("long"))
+    start = F.struct(F.lit(0).alias("line"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s: Column, size: Column) -> Column:
+        new = (s["line"] == 0) | (s["used"] + size > target)
+        return F.struct((s["line"] + 1).alias("line"), F.when(new, size).otherwise(s["used"] + size).alias("used"), F.when(new, F.array_append(s["starts"], s["line"])).otherwise(s["starts"]).alias("starts"))
+
+    rows = documents.select("doc_id", sizes.alias("sizes")).where("sizes is not null").withColumn("starts", F.aggregate("sizes", start, step, lambda s: s["starts"]))
+    ends = F.array_append(F.slice("starts", 2, F.size("starts")), F.size("sizes"))
+    spans = F.arrays_zip(F.col("starts"), ends.alias("ends"))
+    parts = rows.select("doc_id", F.posexplode(F.transform(spans, lambda s: F.struct(s["starts"].alias("at"), F.slice("sizes", s["starts"] + 1, s["ends"] - s["starts"]).alias("sizes")))).alias("part", "p"))
+    found = parts.select("doc_id", "part", F.col("p.at").alias("at"), F.posexplode("p.sizes").alias("i", "size"))
+    return found.select("doc_id", (F.col("at") + F.col("i")).cast("long").alias("line"), "size", F.col("part").cast("long").alias("part"), (F.col("size") > target).alias("oversize"))
 
 
 def bookmark_ranges(starts: DataFrame, by: str, start: str, last: Column) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
+from docengine.sources.tables import held, paged
 
 
 def page_quality(lines: DataFrame) -> DataFrame:
@@ -23,30 +24,60 @@ def extraction_quality(pages: DataFrame) -> DataFrame:
     total = pages.groupBy("doc_id").agg(
         F.count("*").alias("pages"), F.sum("characters").alias("characters"), F.count_if(F.col("characters") == 0).alias("blank_pages"), F.count_if((F.col("characters") > 0) & ~F.col("low_confidence")).alias("text_pages"), F.count_if("low_confidence").alias("low_pages")
     )
+    return with_verdict(total)
+
+
+def with_verdict(total: DataFrame) -> DataFrame:
     return total.withColumn("verdict", F.when(F.col("low_pages") > 0, "low-confidence").when(F.col("characters") == 0, "empty").otherwise("ok"))
 
 
-def to_markdown(lines: DataFrame) -> DataFrame:
-    kept = lines.select("doc_id", "line", T.strip(F.col("text")).alias("t")).where("t <> ''")
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "t"))), lambda r: r["t"]), "\n\n").alias("markdown"))
+def document_pages(documents: DataFrame) -> DataFrame:
+    """documents' doc_id and quality, an array of what page_quality() tells of each page; null texts have no pages."""
+    def page(number: Column, ls: Column) -> Column:
+        def facts(t: Column) -> Column:
+            return F.struct(number.alias("page"), F.length(t).cast("long").alias("characters"), F.size(ls).cast("long").alias("lines"), ((t != "") & ~T.has_text(t)).alias("low_confidence"))
+
+        return held(F.array_join(ls, ""), facts)
+
+    return documents.where("text is not null").select("doc_id", paged(F.col("text"), page).alias("quality"))
+
+
+def document_quality(documents: DataFrame) -> DataFrame:
+    """What extraction_quality() tells, without a shuffle."""
+    of = lambda f: F.size(F.filter("quality", f)).cast("long")
+    total = document_pages(documents).select(
+        "doc_id", F.size("quality").cast("long").alias("pages"), F.aggregate("quality", F.lit(0).cast("long"), lambda a, p: a + p["characters"]).alias("characters"), of(lambda p: p["characters"] == 0).alias("blank_pages"),
+        of(lambda p: (p["characters"] > 0) & ~p["low_confidence"]).alias("text_pages"), of(lambda p: p["low_confidence"]).alias("low_pages"),
+    )
+    return with_verdict(total)
+
+
+def to_markdown(documents: DataFrame) -> DataFrame:
+    """Stripped lines with text, blank lines between them; documents without any are left out."""
+    kept = F.filter(F.transform(F.split("text", "\n", -1), T.strip), lambda t: t != "")
+    return documents.select("doc_id", F.array_join(kept, "\n\n").alias("markdown")).where("markdown <> ''")
+
 
+def with_page_separators(documents: DataFrame) -> DataFrame:
+    def join(bodies: Column) -> Column:
+        marked = F.transform(bodies, lambda b, i: F.concat(T.page_separator(i + 1, F.size(bodies)), F.lit("\n"), b))
+        return F.array_join(marked, "\n")
 
-def with_page_separators(lines: DataFrame) -> DataFrame:
-    pages = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda r: r["text"]), "\n").alias("body"))
-    total = F.count("*").over(Window.partitionBy("doc_id"))
-    marked = pages.withColumn("body", F.concat(T.page_separator(F.col("page") + 1, total), F.lit("\n"), F.col("body")))
-    return marked.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "body"))), lambda r: r["body"]), "\n").alias("text"))
+    bodies = paged(F.col("text"), lambda _, ls: F.array_join(ls, "\n"))
+    return documents.where("text is not null").select("doc_id", held(bodies, join).alias("text"))
 
 
 def search_lines(lines: DataFrame, needle: str) -> DataFrame:
     return lines.withColumn("matches", T.match_count(F.col("text"), needle)).where("matches > 0")
 
 
-def search_capped(lines: DataFrame, needle: str, cap: int) -> DataFrame:
+def search_capped(documents: DataFrame, needle: str, cap: int) -> DataFrame:
     """Of each document the first cap matching lines, with the document's total and whether it was cut."""
-    w = Window.partitionBy("doc_id")
-    found = search_lines(lines, needle).withColumn("total", F.sum("matches").over(w)).withColumn("rank", F.row_number().over(w.orderBy("line")).cast("long"))
-    return found.withColumn("truncated", F.count("*").over(w) > cap).where(F.col("rank") <= cap)
+    counted = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct(i.cast("long").alias("line"), T.match_count(t, needle).alias("matches"), t.alias("text")))
+    found = documents.select("doc_id", F.filter(counted, lambda r: r["matches"] > 0).alias("found")).where(F.size("found") > 0)
+    total = F.aggregate("found", F.lit(0).cast("long"), lambda a, r: a + r["matches"])
+    rows = found.select("doc_id", total.alias("total"), (F.size("found") > cap).alias("truncated"), F.posexplode(F.slice("found", 1, cap)).alias("rank", "r"))
+    return rows.select("doc_id", "r.line", "r.text", "r.matches", "total", (F.col("rank") + 1).cast("long").alias("rank"), "truncated")
 
 
 def duplicates(rows: DataFrame, key: str, body: str) -> DataFrame:

@@ -40,25 +40,25 @@ def doc_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {L} SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS characters, count(*) AS lines, sum(length(text)) > 0 AND NOT bool_or(regexp_matches(text, '[^{T.SPACE}]')) AS low_confidence FROM p GROUP BY doc_id, page")
 def page_quality(spark: SparkSession, d: str) -> DataFrame:
-    return text.page_quality(doc_lines(spark, d))
+    return text.document_pages(table(spark, d, "documents")).select("doc_id", F.inline("quality"))
 
 
 @query(f"""WITH {L}, q AS (SELECT doc_id, page, sum(length(text)) AS c, sum(length(text)) > 0 AND NOT bool_or(regexp_matches(text, '[^{T.SPACE}]')) AS low FROM p GROUP BY doc_id, page),
 t AS (SELECT doc_id, count(*) AS pages, CAST(sum(c) AS BIGINT) AS characters, count_if(c = 0) AS blank_pages, count_if(c > 0 AND NOT low) AS text_pages, count_if(low) AS low_pages FROM q GROUP BY doc_id)
 SELECT doc_id, pages, characters, CAST(blank_pages AS BIGINT) AS blank_pages, CAST(text_pages AS BIGINT) AS text_pages, CAST(low_pages AS BIGINT) AS low_pages, CASE WHEN low_pages > 0 THEN 'low-confidence' WHEN characters = 0 THEN 'empty' ELSE 'ok' END AS verdict FROM t""")
 def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
-    return text.extraction_quality(text.page_quality(doc_lines(spark, d)))
+    return text.document_quality(table(spark, d, "documents"))
 
 
 @query(f"WITH {L} SELECT doc_id, length(m) AS chars, md5(m) AS digest FROM (SELECT doc_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY line) AS m FROM l WHERE trim(text) <> '' GROUP BY doc_id)")
 def to_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return text.to_markdown(doc_lines(spark, d)).select("doc_id", F.length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("digest"))
+    return text.to_markdown(table(spark, d, "documents")).select("doc_id", F.length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("digest"))
 
 
 @query(f"""WITH {L}, g AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line) AS body FROM p GROUP BY doc_id, page), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM g)
 SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, string_agg('--- page ' || (page + 1) || ' of ' || total || ' ---' || chr(10) || body, chr(10) ORDER BY page) AS t FROM n GROUP BY doc_id)""")
 def page_separators(spark: SparkSession, d: str) -> DataFrame:
-    return text.with_page_separators(doc_lines(spark, d)).select("doc_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+    return text.with_page_separators(table(spark, d, "documents")).select("doc_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query("SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS matches FROM documents")
@@ -74,7 +74,7 @@ def search_lines(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {L}, m AS (SELECT doc_id, line, (length(text) - length(replace(lower(text), 'the', ''))) // 3 AS matches FROM l WHERE contains(lower(text), 'the')),
 w AS (SELECT *, CAST(sum(matches) OVER (PARTITION BY doc_id) AS BIGINT) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS rank, count(*) OVER (PARTITION BY doc_id) > 3 AS truncated FROM m) SELECT * FROM w WHERE rank <= 3""")
 def search_capped(spark: SparkSession, d: str) -> DataFrame:
-    return text.search_capped(doc_lines(spark, d), "the", 3).select("doc_id", "line", "matches", "total", "rank", "truncated")
+    return text.search_capped(table(spark, d, "documents"), "the", 3).select("doc_id", "line", "matches", "total", "rank", "truncated")
 
 
 @query("SELECT doc_id, contains(strip_accents(lower(text)), 'elle') AS found FROM documents")
@@ -343,14 +343,14 @@ def bookmark_ranges(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {L}, h AS (SELECT doc_id, page, max(CASE WHEN contains(lower(text), 'ther') THEN 1 ELSE 0 END) AS hit FROM p GROUP BY doc_id, page),
 w AS (SELECT doc_id, page, CAST(sum(CASE WHEN page > 0 THEN hit ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS BIGINT) AS part, sum(CASE WHEN page > 0 THEN hit ELSE 0 END) OVER (PARTITION BY doc_id) AS parts FROM h) SELECT doc_id, page, part FROM w WHERE parts > 0""")
 def split_by_text(spark: SparkSession, d: str) -> DataFrame:
-    return pages.split_by_text(doc_lines(spark, d), "ther")
+    return pages.split_by_text(table(spark, d, "documents"), "ther")
 
 
 @query(f"""WITH RECURSIVE {L}, z AS (SELECT doc_id, line, CAST(strlen(text) AS BIGINT) AS size FROM l), r AS (SELECT doc_id, line, size, size AS used, CAST(0 AS BIGINT) AS part FROM z WHERE line = 0
 UNION ALL SELECT z.doc_id, z.line, z.size, CASE WHEN r.used + z.size > 1500 THEN z.size ELSE r.used + z.size END, CASE WHEN r.used + z.size > 1500 THEN r.part + 1 ELSE r.part END FROM r JOIN z ON z.doc_id = r.doc_id AND z.line = r.line + 1)
 SELECT doc_id, line, size, part, size > 1500 AS oversize FROM r""")
 def split_by_size(spark: SparkSession, d: str) -> DataFrame:
-    return pages.split_by_size(doc_lines(spark, d), 1500)
+    return pages.split_by_size(table(spark, d, "documents"), 1500)
 
 
 @query("SELECT c_custkey, CASE WHEN n = 1 THEN c_mktsegment ELSE c_mktsegment || '-' || n END AS name FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_LINES = 40
@@ -25,3 +27,17 @@ def lines(documents: DataFrame, page_lines: int = PAGE_LINES) -> DataFrame:
     """doc_id, line (from 0), page (from 0), text; null texts have no lines."""
     rows = documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.floor(F.col("line") / page_lines).alias("page"), "text")
+
+
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, also where use reads it in a loop."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def paged(text: Column, page: Callable[[Column, Column], Column], page_lines: int = PAGE_LINES) -> Column:
+    """Array of page(number from 0, its lines) of a text; null for null. Pages are cut within the row, so nothing is shuffled."""
+    def cut(ls: Column) -> Column:
+        numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.size(ls) - 1) / page_lines))
+        return F.transform(numbers, lambda p: page(p, F.slice(ls, (p * page_lines + 1).cast("int"), F.lit(page_lines))))
+
+    return held(F.split(text, "\n", -1), cut)
