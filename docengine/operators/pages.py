@@ -39,6 +39,85 @@ def parse_selection(spec: Column, count: Column) -> Column:
     return F.struct(chosen.alias("pages"), error.alias("error"))
 
 
+def _listed(spec: Column, count: Column) -> tuple[Column, Column]:
+    """The pages from 0 of '2,0-1' in the order given, repeats included, and what is wrong first."""
+    def number(x: Column) -> Column:
+        x = T.strip(x)
+        return F.when(x.rlike("^[+]?[0-9]+$"), x.try_cast("long"))
+
+    def part(p: Column) -> Column:
+        ranged = F.contains(p, F.lit("-"))
+        first = F.when(ranged, number(F.substring_index(p, "-", 1))).otherwise(number(p))
+        last = F.when(ranged, number(F.substr(p, F.instr(p, "-") + 1))).otherwise(first)
+        said = lambda end: F.concat(F.lit("`"), p, F.lit("` " + end))
+        error = (
+            F.when(first.isNull() | last.isNull(), F.when(ranged, said("is not a page range")).otherwise(said("is not a page number"))).when(first > last, F.concat(F.lit("range `"), p, F.lit("` goes backwards")))
+            .when(last >= count, F.concat(F.lit("page "), F.greatest(first, count).cast("string"), F.lit(" out of range (document has "), count.cast("string"), F.lit(" pages)")))
+        )
+        return F.struct(error.alias("error"), F.when(error.isNull(), F.sequence(first, last)).alias("pages"))
+
+    parts = F.transform(F.filter(F.transform(F.split(spec, ","), T.strip), lambda p: p != ""), part)
+    error = F.get(F.filter(F.transform(parts, lambda p: p["error"]), lambda e: e.isNotNull()), F.lit(0))
+    return F.when(error.isNull(), F.flatten(F.transform(parts, lambda p: p["pages"]))), error
+
+
+def parse_indexes(spec: Column, count: Column) -> Column:
+    """'0,2-4' to (pages, error): distinct pages from 0 in the order given; no pages are refused."""
+    spec = F.coalesce(spec, F.lit(""))
+    listed, error = _listed(spec, count)
+    error = F.coalesce(error, F.when(F.size(listed) == 0, F.concat(F.lit("`"), spec, F.lit("` selects no pages"))))
+    return F.struct(F.when(error.isNull(), F.array_distinct(listed)).alias("pages"), error.alias("error"))
+
+
+def parse_order(spec: Column, count: Column) -> Column:
+    """'2,0-1' to (pages, error): every page from 0 exactly once."""
+    spec = F.coalesce(spec, F.lit(""))
+    listed, error = _listed(spec, count)
+    twice = F.get(F.filter(listed, lambda p, i: F.array_position(listed, p) <= i), F.lit(0))
+    quoted = F.concat(F.lit("`"), spec, F.lit("` lists "))
+    error = F.coalesce(
+        error, F.when(F.size(listed) != count, F.concat(quoted, F.size(listed).cast("string"), F.lit(" pages but the document has "), count.cast("string"), F.lit("; reorder needs every page exactly once"))),
+        F.when(twice.isNotNull(), F.concat(quoted, F.lit("page "), twice.cast("string"), F.lit(" twice"))),
+    )
+    return F.struct(F.when(error.isNull(), listed).alias("pages"), error.alias("error"))
+
+
+def clamp_range(first: Column, last: Column, count: Column) -> Column:
+    """(first, last, error) of a page range from 0, cut to the document; without a range, the whole of it."""
+    end = F.greatest(count - 1, F.lit(0))
+    error = F.when(first > last, "search page range is empty")
+    some = lambda x, other: F.when(error.isNull(), F.when(x.isNull(), other).otherwise(F.least(x, end)))
+    return F.struct(some(first, F.lit(0).cast("long")).alias("first"), some(last, end).alias("last"), error.alias("error"))
+
+
+#: Fixed value: blank pages that one call may insert.
+MOST_BLANK = 100
+
+
+def insert_blank(rows: DataFrame, after: Column, n: int) -> DataFrame:
+    """rows, numbered(), with n blank pages after the first after of them (null: at the end): position, blank, error.
+
+    A blank page takes what else the row beside it holds. Where after lies outside of the document, its rows stay as they are
+    and error says so. Each document's blanks come from one of its rows, so nothing is shuffled.
+    """
+    if not 1 <= n <= MOST_BLANK:
+        raise ValueError(f"between 1 and {MOST_BLANK} blank pages can be inserted at once")
+    at = F.coalesce(after, F.col("pages"))
+    error = F.when((at > F.col("pages")) | (at < 0), F.concat(F.lit("insert position "), at.cast("string"), F.lit(" is out of range (document has "), F.col("pages").cast("string"), F.lit(" pages)")))
+    page = F.col("page")
+    own = F.struct((page + F.when(error.isNull() & (page >= at), n).otherwise(0)).alias("position"), F.lit(False).alias("blank"))
+    blanks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((at + i).alias("position"), F.lit(True).alias("blank")))
+    beside = error.isNull() & (page == F.greatest(at - 1, F.lit(0)))
+    made = F.when(beside, F.concat(F.array(own), blanks)).otherwise(F.array(own))
+    return rows.select("*", error.alias("error"), F.inline(made))
+
+
+def spread_rows(rows: DataFrame) -> DataFrame:
+    """rows, numbered(), with row and slot of a view of two pages a row; the first of an odd number stands alone."""
+    shifted = F.col("page") + F.col("pages") % 2
+    return rows.withColumn("row", F.floor(shifted / 2)).withColumn("slot", F.when((F.col("page") == 0) | (shifted % 2 == 0), 0).otherwise(1))
+
+
 def numbered(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     """rows with page (from 0) and pages within each by."""
     w = Window.partitionBy(*by)

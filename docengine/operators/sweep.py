@@ -46,3 +46,24 @@ def evaluate(documents: DataFrame, key: str, rules: dict[str, Column]) -> DataFr
     """(key, rule, outcome): pass, fail, or unevaluated where a rule's condition is null. One pass, no join with the rules."""
     outcome = [F.struct(F.lit(n).alias("rule"), F.when(c.isNull(), "unevaluated").when(c, "pass").otherwise("fail").alias("outcome")) for n, c in rules.items()]
     return documents.select(key, F.inline(F.array(*outcome)))
+
+
+#: Fixed value: severities from the least to the worst.
+SEVERITIES = ("ok", "notice", "warn")
+
+
+def worst_severity(rows: DataFrame, by: list[str], severity: str) -> DataFrame:
+    """The worst severity of each group; what is no severity counts as ok."""
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col(severity)), F.lit(0))
+    return rows.groupBy(*by).agg(F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.greatest(F.max(rank), F.lit(1)).cast("int")).alias("worst"))
+
+
+def ranked_names(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Names of each group, how often they occur and their place: the most frequent first, then by name."""
+    counts = rows.groupBy(*by, name).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), name)).cast("long"))
+
+
+def corpus_weight(path: Column) -> Column:
+    """What a file counts: files from the wild count three times."""
+    return F.when(path.contains("govdocs") | path.contains("wild"), 3).otherwise(1)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import geometry as G
+from docengine.functions import permissions as P
 from docengine.functions import text as T
+from docengine.functions import values as V
 from docengine.operators import blocks, graph, layout, pages, ranges, sweep, text
 from docengine.sources.glyphs import typeset
 from docengine.sources.tables import lines, table
@@ -627,3 +629,110 @@ def layout_table_report(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def layout_article(spark: SparkSession, d: str) -> DataFrame:
     return layout.article(layout.paragraphs(glyph_lines(spark, d)))
+
+
+# rules of permissions, pages and values
+
+
+def case_of(key: str, cases: list) -> Column:
+    """The case whose place is the key's remainder."""
+    return F.get(F.array(*[F.lit(c) for c in cases]), (F.col(key) % len(cases)).cast("int"))
+
+
+SPECS = ["none", " Print, copy", "modify,annotate,modify", "print,fly", " ", "print,none", "copy,", "ANNOTATE,copy,modify,print"]
+
+
+# what each of SPECS means, by its place
+@query("""SELECT p_partkey, mask, error, p, granted, denied FROM part JOIN (VALUES (0, 0, NULL, 4294967232, '', 'print,modify,copy,annotate'), (1, 20, NULL, 4294967252, 'print,copy', 'modify,annotate'), (2, 40, NULL, 4294967272, 'modify,annotate', 'print,copy'),
+(3, NULL, 'unknown permission `fly` (valid: print, modify, copy, annotate)', NULL, NULL, NULL), (4, NULL, 'empty permission spec (expected e.g. `print,copy` or `none`)', NULL, NULL, NULL), (5, NULL, 'unknown permission `none` (valid: print, modify, copy, annotate)', NULL, NULL, NULL),
+(6, NULL, 'unknown permission `` (valid: print, modify, copy, annotate)', NULL, NULL, NULL), (7, 60, NULL, 4294967292, 'print,modify,copy,annotate', '')) v(k, mask, error, p, granted, denied) ON k = p_partkey % 8""")
+def permission_specs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", P.grants(case_of("p_partkey", SPECS)).alias("g")).select("p_partkey", "g.*").withColumn("p", P.p_value(F.col("mask")))
+    known = lambda c: F.when(F.col("mask").isNotNull(), F.array_join(c, ","))
+    return rows.select("p_partkey", "mask", "error", "p", known(P.granted(F.col("mask"))).alias("granted"), known(P.denied(F.col("p"))).alias("denied"))
+
+
+@query("""WITH e AS (SELECT event_id, event_id & (event_id // 3) AS bits, ['print', 'copy', 'annotate', 'redact', 'edit', 'fill'][event_id % 6 + 1] AS op, event_id % 5 = 0 AS owner, CASE event_id % 7 WHEN 0 THEN 'honour' WHEN 1 THEN 'override' END AS wish FROM events),
+h AS (SELECT *, bits & CASE op WHEN 'print' THEN 8 WHEN 'copy' THEN 32 WHEN 'annotate' THEN 64 WHEN 'fill' THEN 512 ELSE 16 END <> 0 AS holds FROM e) SELECT event_id, bits, holds OR owner AS may, CASE WHEN holds OR NOT owner THEN 'honour' ELSE coalesce(wish, 'override') END AS decision FROM h""")
+def permission_checks(spark: SparkSession, d: str) -> DataFrame:
+    key, op, owner = F.col("event_id"), case_of("event_id", ["print", "copy", "annotate", "redact", "edit", "fill"]), F.col("event_id") % 5 == 0
+    wish = F.when(key % 7 == 0, "honour").when(key % 7 == 1, "override")
+    rows = table(spark, d, "events").select("event_id", P.restrict(key, F.expr("event_id div 3")).alias("bits"))
+    return rows.select("event_id", "bits", P.may(F.col("bits"), op, owner).alias("may"), P.decision(F.col("bits"), op, owner, wish).alias("decision"))
+
+
+ORDERS = ["2,0,1", "0-2", "1, 1 ,0", "0,1", "2-0", "0,x", "0-3", "1-", ""]
+
+
+# what each of ORDERS means for a document of three pages, by its place
+@query("""SELECT p_partkey, picked, pick_error, ordered, order_error FROM part JOIN (VALUES (0, '2,0,1', NULL, '2,0,1', NULL), (1, '0,1,2', NULL, '0,1,2', NULL), (2, '1,0', NULL, NULL, '`1, 1 ,0` lists page 1 twice'),
+(3, '0,1', NULL, NULL, '`0,1` lists 2 pages but the document has 3; reorder needs every page exactly once'), (4, NULL, 'range `2-0` goes backwards', NULL, 'range `2-0` goes backwards'), (5, NULL, '`x` is not a page number', NULL, '`x` is not a page number'),
+(6, NULL, 'page 3 out of range (document has 3 pages)', NULL, 'page 3 out of range (document has 3 pages)'), (7, NULL, '`1-` is not a page range', NULL, '`1-` is not a page range'),
+(8, NULL, '`` selects no pages', NULL, '`` lists 0 pages but the document has 3; reorder needs every page exactly once')) v(k, picked, pick_error, ordered, order_error) ON k = p_partkey % 9""")
+def page_orders(spark: SparkSession, d: str) -> DataFrame:
+    spec, count = case_of("p_partkey", ORDERS), F.lit(3).cast("long")
+    rows = table(spark, d, "part").select("p_partkey", pages.parse_indexes(spec, count).alias("a"), pages.parse_order(spec, count).alias("b"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select("p_partkey", joined("a.pages").alias("picked"), F.col("a.error").alias("pick_error"), joined("b.pages").alias("ordered"), F.col("b.error").alias("order_error"))
+
+
+@query(f"""WITH {N}, s AS (SELECT *, CASE WHEN o_custkey % 4 < 3 THEN o_custkey % 4 * 3 END AS after FROM n), a AS (SELECT *, coalesce(after, pages) AS place FROM s),
+o AS (SELECT o_custkey, o_orderkey, page + CASE WHEN place <= pages AND page >= place THEN 2 ELSE 0 END AS position, false AS blank, place > pages AS refused FROM a)
+SELECT * FROM o UNION ALL SELECT o_custkey, o_orderkey, place + unnest([0, 1]), true, false FROM a WHERE place <= pages AND page = greatest(place - 1, 0)""")
+def insert_blank_pages(spark: SparkSession, d: str) -> DataFrame:
+    after = F.when(F.col("o_custkey") % 4 < 3, F.col("o_custkey") % 4 * 3)
+    return pages.insert_blank(numbered_orders(spark, d), after, 2).select("o_custkey", "o_orderkey", "position", "blank", F.col("error").isNotNull().alias("refused"))
+
+
+@query(f"WITH {N} SELECT o_custkey, o_orderkey, CASE WHEN pages % 2 = 1 THEN (page + 1) // 2 ELSE page // 2 END AS row, CASE WHEN pages % 2 = 1 THEN CASE WHEN page = 0 THEN 0 ELSE (page - 1) % 2 END ELSE page % 2 END AS slot FROM n")
+def spread_rows(spark: SparkSession, d: str) -> DataFrame:
+    return pages.spread_rows(numbered_orders(spark, d)).select("o_custkey", "o_orderkey", "row", F.col("slot").cast("long").alias("slot"))
+
+
+@query("SELECT p_partkey, CASE WHEN a <= b THEN least(a, 9) END AS first, CASE WHEN a <= b THEN least(b, 9) WHEN a IS NULL THEN 9 END AS last, CASE WHEN a > b THEN 'search page range is empty' END AS error FROM (SELECT p_partkey, p_size % 14 AS a, p_size % 11 + 2 AS b FROM part)")
+def page_ranges(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size").cast("long")
+    return table(spark, d, "part").select("p_partkey", pages.clamp_range(size % 14, size % 11 + 2, F.lit(10).cast("long")).alias("r")).select("p_partkey", "r.*")
+
+
+@query("SELECT user_id, CASE WHEN max(value) > 90 THEN 'warn' WHEN max(value) > 50 THEN 'notice' ELSE 'ok' END AS worst FROM events GROUP BY user_id")
+def worst_severity(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", F.when(F.col("value") > 90, "warn").when(F.col("value") > 50, "notice").otherwise("ok").alias("severity"))
+    return sweep.worst_severity(rows, ["user_id"], "severity")
+
+
+@query("SELECT user_id, event_type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS place FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)")
+def ranked_deviations(spark: SparkSession, d: str) -> DataFrame:
+    return sweep.ranked_names(table(spark, d, "events"), ["user_id"], "event_type")
+
+
+LENGTHS = ["", "px", " PT", "mm", "cm", "in", "pc", "%", "em"]
+
+
+@query("SELECT p_partkey, CAST(CASE p_partkey % 9 WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN v / 0.75 WHEN 3 THEN v * 72 / 25.4 WHEN 4 THEN v * 72 / 2.54 WHEN 5 THEN v * 72 WHEN 6 THEN v * 12 END AS DOUBLE) AS length FROM (SELECT p_partkey, CAST(-p_size AS DOUBLE) - 0.5 AS v FROM part)")
+def lengths(spark: SparkSession, d: str) -> DataFrame:
+    written = F.concat(F.lit(" -"), F.col("p_size").cast("string"), F.lit(".5"), case_of("p_partkey", LENGTHS))
+    return table(spark, d, "part").select("p_partkey", V.length_units(written).alias("length"))
+
+
+PAINTS = [" #0aF ", "#0080ff", "rgb(51, 102,300)", "RGB(50% 100% 0%)", "Orange", "transparent", "url(#a)", "rgb(1,2)", "#12345"]
+
+
+# what each of PAINTS means, by its place
+@query("""SELECT p_partkey, r, g, b FROM part JOIN (VALUES (0, 0e0, 10 / 17e0, 15 / 17e0), (1, 0e0, 128 / 255e0, 1e0), (2, 0.2e0, 0.4e0, 1e0), (3, 0.5e0, 1e0, 0e0), (4, 1e0, 0.6470588e0, 0e0),
+(5, NULL, NULL, NULL), (6, NULL, NULL, NULL), (7, NULL, NULL, NULL), (8, NULL, NULL, NULL)) v(k, r, g, b) ON k = p_partkey % 9""")
+def colours(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", V.colour(case_of("p_partkey", PAINTS)).alias("c")).select("p_partkey", "c.r", "c.g", "c.b")
+
+
+TARGETS = ["../media/a.png", "/xl//./b", "./x/../../../../y", " c ", "..", "d/"]
+
+
+@query("SELECT p_partkey, ['ppt/media/a.png', 'xl/b', 'y', 'ppt/slides/c', 'ppt', 'ppt/slides/d'][p_partkey % 6 + 1] AS part FROM part")
+def part_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", V.part_name(F.lit("ppt/slides"), case_of("p_partkey", TARGETS)).alias("part"))
+
+
+@query("SELECT source, CASE WHEN contains(source, 'wild') OR contains(source, 'govdocs') THEN 3 ELSE 1 END AS weight, count(*) AS files FROM documents GROUP BY source")
+def corpus_weights(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files")).select("source", sweep.corpus_weight(F.col("source")).alias("weight"), "files")
