@@ -54,8 +54,8 @@ def document_quality(documents: DataFrame) -> DataFrame:
 
 def to_markdown(documents: DataFrame) -> DataFrame:
     """Stripped lines with text, blank lines between them; documents without any are left out."""
-    kept = F.filter(F.transform(F.split("text", "\n", -1), T.strip), lambda t: t != "")
-    return documents.select("doc_id", F.array_join(kept, "\n\n").alias("markdown")).where("markdown <> ''")
+    text = F.col("text")
+    return documents.where(T.has_text(text)).select("doc_id", F.regexp_replace(T.strip(text), T.LINE_ENDS, "\n\n").alias("markdown"))
 
 
 def with_page_separators(documents: DataFrame) -> DataFrame:
@@ -74,7 +74,8 @@ def search_lines(lines: DataFrame, needle: str) -> DataFrame:
 def search_capped(documents: DataFrame, needle: str, cap: int) -> DataFrame:
     """Of each document the first cap matching lines, with the document's total and whether it was cut."""
     counted = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct(i.cast("long").alias("line"), T.match_count(t, needle).alias("matches"), t.alias("text")))
-    found = documents.select("doc_id", F.filter(counted, lambda r: r["matches"] > 0).alias("found")).where(F.size("found") > 0)
+    # the cheap test goes first; a document that passes without a matching line has no rows to explode
+    found = documents.where(F.contains(F.lower("text"), F.lit(needle.lower()))).select("doc_id", F.filter(counted, lambda r: r["matches"] > 0).alias("found"))
     total = F.aggregate("found", F.lit(0).cast("long"), lambda a, r: a + r["matches"])
     rows = found.select("doc_id", total.alias("total"), (F.size("found") > cap).alias("truncated"), F.posexplode(F.slice("found", 1, cap)).alias("rank", "r"))
     return rows.select("doc_id", "r.line", "r.text", "r.matches", "total", (F.col("rank") + 1).cast("long").alias("rank"), "truncated")

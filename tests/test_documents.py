@@ -44,3 +44,18 @@ def test_parts_by_text_and_size(documents):
     assert parts == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}
     rows = pages.split_by_size(documents.where("doc_id in (1, 2, 4)"), 20).orderBy("doc_id", "line").collect()
     assert [(r.doc_id, r.line, r.size, r.part, r.oversize) for r in rows[:4]] == [(2, 0, 0, 0, False), (4, 0, 12, 0, False), (4, 1, 6, 0, False), (4, 2, 6, 1, False)]
+
+
+def test_strip_and_line_ends_of_any_white_space(spark):
+    import random
+    import re
+
+    from docengine.functions import text as T
+
+    spaces = re.compile(f"[{re.escape(T.SPACES)}]")
+    assert all(bool(spaces.match(chr(c))) == bool(re.match(r"\s", chr(c))) for c in range(0x3001) if not 0x1C <= c <= 0x1F)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(T.SPACES + "\n\n\n  abé\u200b") for _ in range(rng.randrange(40))) for _ in range(400)] + ["a" + " " * 200_000 + "b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: "\n\n".join(x for x in (y.strip(T.SPACES) for y in t.split("\n")) if x) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.markdown for r in text.to_markdown(rows).collect()} == {i: m for i, m in want.items() if m}
