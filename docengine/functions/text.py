@@ -22,7 +22,7 @@ RTL = "[\\u0590-\\u08ff\\ufb1d-\\ufdff\\ufe70-\\ufeff]"
 #: Fixed value: the white space of Unicode, as a character class of both Java's and DuckDB's patterns.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: The same, character by character.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: White space with a line end in it, whole. Only the first character of white space looks ahead for one.
 _WITHIN = SPACE.replace(r"\t-\r", r"\t\x0b-\r")
 LINE_ENDS = rf"(?:[{_WITHIN}](?<![{SPACE}][{SPACE}])[{_WITHIN}]*+)?\n[{SPACE}]*+"
