@@ -38,3 +38,13 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         now = materialize(_small_star(_large_star(now)), "edges")
         mark, before = _mark(now), mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def joined_components(components: DataFrame, links: DataFrame) -> DataFrame:
+    """components, as of connected_components(), after further links (a, b): only the links between components are stepped through."""
+    of = lambda name: components.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = connected_components(between, "a", "b")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    out = components.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialize(out.unionByName(moved), "components")

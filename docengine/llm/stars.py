@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.common import materialize, may_match, salted, with_salt
-from docengine.llm.components import connected_components
+from docengine.llm.components import connected_components, joined_components
 
 STAR_ROUNDS = 2
 #: Open buckets of more members are compared in blocks where the caller can, smaller ones pair by pair.
@@ -22,9 +22,13 @@ CROWD = 32
 BLOCK = 256
 
 
-def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(key, salt, salts, node, n) of nodes (node, n, keys): members of buckets with two nodes or more, crowded ones in parts."""
+def shared_buckets(nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(key, salt, salts, node, n) of nodes (node, n, keys): members of buckets with two nodes or more, crowded ones in parts.
+
+    more: further members (key, node, n).
+    """
     rows = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    rows = rows if more is None else rows.unionByName(more)
     shared = materialize(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"), "shared")
     dealt = with_salt(may_match(rows, "key", shared), "key", shared, "node")
     keys = with_salt(shared, "key", shared, "m").select("key", "salts")
@@ -51,18 +55,21 @@ def _open_rows(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
     return materialize(_with(rows, F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("crowd"), only="lo <> hi").drop("lo", "hi"), "open")
 
 
-def _star(rows: DataFrame, used: DataFrame | None, percent: int) -> DataFrame:
+def _star(rows: DataFrame, used: DataFrame | None, percent: int, sole: bool) -> DataFrame:
     """Pairs of each bucket's centre with its members in other components.
 
     The centre is the member that meets the most others over all its buckets, as the original of many near copies does; one
-    that was a centre before only comes after the others.
+    that was a centre before only comes after the others. sole: a node meets but the first of its buckets' centres.
     """
     met = rows.groupBy("node").agg(F.sum("crowd").alias("met"))
     met = met.withColumn("fresh", F.lit(1)) if used is None else met.join(used.withColumn("old", F.lit(0)), "node", "left").select("node", "met", F.coalesce("old", F.lit(1)).alias("fresh"))
     rows = rows.join(met, "node")
     order = F.struct("fresh", "met", F.xxhash64("node").alias("h"), "node", F.col("n").alias("m"), F.col("comp").alias("c"))
     both = _with(rows, F.max(order).alias("z"))
-    return both.where((F.col("comp") != F.col("z.c")) & _alike(F.col("n"), F.col("z.m"), percent)).select(F.col("z.node").alias("a"), F.col("node").alias("b")).distinct()
+    met = both.where((F.col("comp") != F.col("z.c")) & _alike(F.col("n"), F.col("z.m"), percent))
+    if sole:
+        return met.groupBy("node").agg(F.max("z").alias("z")).select(F.col("z.node").alias("a"), F.col("node").alias("b"))
+    return met.select(F.col("z.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
@@ -101,34 +108,36 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def linked_classes(
-    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int = 0, links: DataFrame | None = None, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None
+    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int = 0, links: DataFrame | None = None, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None, sole: int = 0
 ) -> DataFrame:
     """(node, component) as of connected_components(). buckets as of shared_buckets(), n a size; links: edges (a, b) known before.
 
     confirm takes candidate pairs (a, b), distinct in either order, and returns those that link. Pairs are proposed only if
     the smaller n is at least percent per cent of the larger. confirm_blocks takes blocks as of _blocks() and returns edges
-    (a, b) that connect what links there, without writing out pairs.
+    (a, b) that connect what links there, without writing out pairs. sole: so many rounds before the others propose one pair
+    for each node at most, so that a large group of near copies is one class before its buckets propose all their stars.
     """
     if links is None:
         links = buckets.sparkSession.createDataFrame([], "a long, b long")
     tested, components, used = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(sole + STAR_ROUNDS + 1):
         still = _open_rows(buckets, components)
         n = still.count()
         if not n:
             break
-        last = turn == STAR_ROUNDS or turn > 0 and (confirm_blocks is not None or _n_across(still) <= 2 * n)
+        last = turn == sole + STAR_ROUNDS or turn > 0 and (confirm_blocks is not None or _n_across(still) <= 2 * n)
         if last and confirm_blocks is not None:
             links = links.unionByName(materialize(confirm_blocks(_blocks(still.where(F.col("crowd") > CROWD))), "links"))
             still = still.where(F.col("crowd") <= CROWD)
-        pairs = _across(still, percent) if last else _star(still, used, percent)
+        pairs = _across(still, percent) if last else _star(still, used, percent, turn < sole)
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both if tested is None else tested.unionByName(both)
         centres = pairs.select(F.col("a").alias("node"))
         used = (centres if used is None else used.unionByName(centres)).distinct()
         links = links.unionByName(materialize(confirm(pairs), "links"))
-        components = connected_components(links, "a", "b")
+        components = connected_components(links, "a", "b") if components is None else joined_components(components, links)
+        links = links.where("false")
         if last:
             break
     return connected_components(links, "a", "b") if components is None else components
