@@ -4,7 +4,7 @@ Frames of the signal are folded into twelve pitch classes. An integral image ove
 rectangles, from which sixteen filters compare two regions each; every response is quantised to two bits in Gray code and the
 sixteen pairs are packed into one 32-bit integer for each frame. Two recordings align at the offset where the histogram of
 offsets of equal integers peaks, and match if few bits differ over the aligned stretch. Candidates share two integers as they
-are, or three in one of several subsets of their bits, so that copies with bit errors in nearly each integer are found.
+are, or four in one of several subsets of their bits, so that copies with bit errors in nearly each integer are found.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.common import bounded_batches, materialize, may_match
-from docengine.llm.stars import linked_classes, shared_buckets
+from docengine.llm.stars import first_classes, linked_classes, shared_buckets
 
 FRAME, HOP = 1024, 256
 SPAN = 12
@@ -27,10 +27,13 @@ STEP = 0.12
 MAX_BIT_ERROR = 0.2
 #: A bucket key joins the integers of a frame and of the frame this far behind it.
 LAG = 6
-#: Further keys hold so many of the 96 bits of three integers LAG apart, in so many random subsets.
-KEPT_BITS, SUBSETS = 52, 4
+#: Further keys join so many integers so far apart. They hold so many of their bits, in so many random subsets, drawn from the
+#: LIVELY bits of an integer that tell most: bits that hardly vary cost a noisy copy as much and keep no stranger away.
+WORDS, STEP_BETWEEN, KEPT_BITS, SUBSETS, LIVELY = 4, 4, 52, 6, 20
 #: Recordings of fewer integers, which overlap too little for those, share so many of the 64 bits of two, in so many subsets.
 SHORT, SHORT_BITS, SHORT_SUBSETS = 40, 52, 4
+#: So many keys of each recording, the least ones, put near copies into one class before all keys are compared.
+SKETCH = 32
 SEED = 11
 
 
@@ -161,29 +164,41 @@ def align_pairs(pairs: DataFrame, prints: DataFrame, max_bit_error: float = MAX_
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(partial(_aligned, max_bit_error=max_bit_error), "a long, b long, offset long, bit_error double, same boolean")
 
 
-def _masks(words: int, bits: int, subsets: int) -> list[list[int]]:
+def _lively(nodes: DataFrame) -> list[int]:
+    """The LIVELY bits of the integers that are nearest to being set in half of them."""
+    said = nodes.select(F.explode("codes").alias("c")).agg(F.count("*"), *[F.sum(F.getbit("c", F.lit(bit))) for bit in range(32)]).first()
+    return sorted(range(32), key=lambda bit: abs(said[0] - 2 * (said[bit + 1] or 0)))[:LIVELY]
+
+
+def _masks(words: int, bits: int, subsets: int, among: list[int]) -> list[list[int]]:
     """Of each subset the bits kept of each integer, as signed integers."""
-    rng = np.random.default_rng(SEED)
-    return [np.packbits(np.isin(np.arange(32 * words), rng.permutation(32 * words)[:bits]), bitorder="little").view("<i4").tolist() for _ in range(subsets)]
+    rng, pool = np.random.default_rng(SEED), np.add.outer(32 * np.arange(words), among).ravel()
+    return [np.packbits(np.isin(np.arange(32 * words), rng.permutation(pool)[:bits]), bitorder="little").view("<i4").tolist() for _ in range(subsets)]
 
 
-def _subset_keys(words: int, bits: int, subsets: int) -> F.Column:
+def _subset_keys(masks: list[list[int]], step: int) -> F.Column:
     def at(x: F.Column, i: F.Column) -> F.Column:
-        ints = [x, *[F.get("codes", i + LAG * k) for k in range(1, words)]]
-        return F.array(*[F.xxhash64(*[v.bitwiseAND(F.lit(m)) for v, m in zip(ints, mask, strict=True)], F.lit(i)) for i, mask in enumerate(_masks(words, bits, subsets))])
+        ints = [x, *[F.get("codes", i + step * k) for k in range(1, len(masks[0]))]]
+        return F.array(*[F.xxhash64(*[v.bitwiseAND(F.lit(m)) for v, m in zip(ints, mask, strict=True)], F.lit(i)) for i, mask in enumerate(masks)])
 
-    return F.array_distinct(F.flatten(F.transform(F.slice("codes", 1, F.greatest(F.size("codes") - LAG * (words - 1), F.lit(0))), at)))
+    return F.array_distinct(F.flatten(F.transform(F.slice("codes", 1, F.greatest(F.size("codes") - step * (len(masks[0]) - 1), F.lit(0))), at)))
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """shared_buckets() of nodes (node, codes). Long recordings meet in subsets of two integers only where a short one does."""
+def _keys(lively: list[int]) -> tuple[F.Column, F.Column]:
+    """The keys of a recording, and those in which short recordings meet all others."""
     after = F.slice("codes", LAG + 1, F.greatest(F.size("codes") - LAG, F.lit(0)))
-    pairs = F.zip_with(F.slice("codes", 1, F.size(after)), after, lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(0xFFFFFFFF)))
-    short, two = F.size("codes") < SHORT, _subset_keys(2, SHORT_BITS, SHORT_SUBSETS)
-    keys = F.concat(F.array_distinct(pairs), _subset_keys(3, KEPT_BITS, SUBSETS), F.when(short, two).otherwise(F.array().cast("array<bigint>")))
+    pairs = F.array_distinct(F.zip_with(F.slice("codes", 1, F.size(after)), after, lambda x, y: F.xxhash64(x, y)))
+    two = _subset_keys(_masks(2, SHORT_BITS, SHORT_SUBSETS, list(range(32))), LAG)
+    more = F.when(F.size("codes") < SHORT, two).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(pairs, _subset_keys(_masks(WORDS, KEPT_BITS, SUBSETS, lively), STEP_BETWEEN), more), two
+
+
+def _buckets(nodes: DataFrame, keys: F.Column, two: F.Column) -> DataFrame:
+    """shared_buckets() of nodes (node, codes, comp). Long recordings meet in subsets of two integers only where a short one does."""
+    short = F.size("codes") < SHORT
     held = materialize(nodes.where(short).select(F.explode(two).alias("key")).distinct(), "short-keys")
-    more = None if held.isEmpty() else may_match(nodes.where(~short).select(F.explode(two).alias("key"), "node", F.lit(1).alias("n")), "key", held).join(held, "key", "left_semi")
-    return shared_buckets(nodes.select("node", F.lit(1).alias("n"), keys.alias("keys")), more)
+    more = None if held.isEmpty() else may_match(nodes.where(~short).select(F.explode(two).alias("key"), "node", F.lit(1).alias("n"), "comp"), "key", held).join(held, "key", "left_semi")
+    return shared_buckets(nodes.select("node", F.lit(1).alias("n"), keys.alias("keys"), "comp"), more)
 
 
 def match_recordings(prints: DataFrame, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
@@ -192,21 +207,24 @@ def match_recordings(prints: DataFrame, max_bit_error: float = MAX_BIT_ERROR) ->
     rec_id, n_codes long, component_id long (smallest rec_id reachable over matches), kept boolean (rec_id = component_id),
     offset long and bit_error double (alignment with that recording; 0 and 0 for itself, null where none is common).
 
-    Recordings match as of matches(); candidates share two integers LAG frames apart, or three in a subset of their bits, so
+    Recordings match as of matches(); candidates share two integers LAG frames apart, or four in a subset of their bits, so
     few of the matches whose bits differ by up to a sixteenth are lost. Recordings of at most LAG integers match only if equal.
-    Equal fingerprints collapse first. Recordings without codes match nothing; rows without rec_id have component_id null and
+    Equal fingerprints collapse first, then most near copies by a few keys of each; all keys decide what else meets. Recordings without codes match nothing; rows without rec_id have component_id null and
     kept true; rows that share a rec_id are one node, which the smallest codes stand for.
     """
     prints = materialize(prints, "prints")
     named = prints.where("rec_id is not null and size(codes) > 0").groupBy("rec_id").agg(F.min("codes").alias("codes"))
     nodes = materialize(named.groupBy("codes").agg(F.min("rec_id").alias("node")), "nodes")
-    buckets = _buckets(nodes)
+    keys, two = _keys(_lively(nodes))
     shapes = nodes.select(F.col("node").alias("rec_id"), "codes")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return align_pairs(pairs, shapes, max_bit_error).where("same").select("a", "b")
 
-    components = linked_classes(buckets, confirm, sole=1)
+    sketches = nodes.select("node", F.lit(1).alias("n"), F.slice(F.array_sort(keys), 1, SKETCH).alias("keys"))
+    first = first_classes(shared_buckets(sketches), confirm)
+    classed = nodes.join(first, "node", "left").select("node", "codes", F.coalesce("component", "node").alias("comp"))
+    components = linked_classes(_buckets(materialize(classed, "classed"), keys, two), confirm, components=first)
     classes = materialize(nodes.join(components, "node", "left").select("codes", "node", F.coalesce("component", "node").alias("component_id")), "classes")
     aligned = align_pairs(classes.where("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b")), shapes).select(F.col("b").alias("node"), "offset", "bit_error")
     known = named.join(classes.join(aligned, "node", "left"), "codes").select("rec_id", "component_id", F.when(F.col("node") == F.col("component_id"), F.lit(0)).otherwise(F.col("offset")).alias("offset"), F.when(F.col("node") == F.col("component_id"), F.lit(0.0)).otherwise(F.col("bit_error")).alias("bit_error"))

@@ -25,11 +25,12 @@ BLOCK = 256
 def shared_buckets(nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """(key, salt, salts, node, n) of nodes (node, n, keys): members of buckets with two nodes or more, crowded ones in parts.
 
-    more: further members (key, node, n).
+    more: further members (key, node, n). Where nodes have comp, a component known before, buckets have two components or more.
     """
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "n", *[c for c in nodes.columns if c == "comp"])
     rows = rows if more is None else rows.unionByName(more)
-    shared = materialize(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"), "shared")
+    by = "comp" if "comp" in rows.columns else "node"
+    shared = materialize(rows.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"), "shared")
     dealt = with_salt(may_match(rows, "key", shared), "key", shared, "node")
     keys = with_salt(shared, "key", shared, "m").select("key", "salts")
     return materialize(dealt.join(salted(keys), ["key", "salt"]).select("key", "salt", "salts", "node", "n"), "buckets")
@@ -55,7 +56,7 @@ def _open_rows(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
     return materialize(_with(rows, F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("crowd"), only="lo <> hi").drop("lo", "hi"), "open")
 
 
-def _star(rows: DataFrame, used: DataFrame | None, percent: int, sole: bool) -> DataFrame:
+def _star(rows: DataFrame, used: DataFrame | None, percent: int, sole: bool = False) -> DataFrame:
     """Pairs of each bucket's centre with its members in other components.
 
     The centre is the member that meets the most others over all its buckets, as the original of many near copies does; one
@@ -107,29 +108,39 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return dealt.select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "comp")
 
 
+def first_classes(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int = 0) -> DataFrame:
+    """(node, component) after one star in which each node meets one centre at most; for linked_classes() to go on from.
+
+    So a large group of near copies is one class before its buckets propose all their stars.
+    """
+    pairs = materialize(_star(_open_rows(buckets, None), None, percent, True), "candidates")
+    return connected_components(materialize(confirm(pairs), "links"), "a", "b")
+
+
 def linked_classes(
-    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int = 0, links: DataFrame | None = None, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None, sole: int = 0
+    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int = 0, links: DataFrame | None = None, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None, components: DataFrame | None = None
 ) -> DataFrame:
     """(node, component) as of connected_components(). buckets as of shared_buckets(), n a size; links: edges (a, b) known before.
 
     confirm takes candidate pairs (a, b), distinct in either order, and returns those that link. Pairs are proposed only if
     the smaller n is at least percent per cent of the larger. confirm_blocks takes blocks as of _blocks() and returns edges
-    (a, b) that connect what links there, without writing out pairs. sole: so many rounds before the others propose one pair
-    for each node at most, so that a large group of near copies is one class before its buckets propose all their stars.
+    (a, b) that connect what links there, without writing out pairs. components: as of first_classes(), written tables.
     """
     if links is None:
         links = buckets.sparkSession.createDataFrame([], "a long, b long")
-    tested, components, used = None, None, None
-    for turn in range(sole + STAR_ROUNDS + 1):
+    elif components is not None:
+        components = joined_components(components, links)
+    tested, used, known = None, None, components is not None
+    for turn in range(STAR_ROUNDS + 1):
         still = _open_rows(buckets, components)
         n = still.count()
         if not n:
             break
-        last = turn == sole + STAR_ROUNDS or turn > 0 and (confirm_blocks is not None or _n_across(still) <= 2 * n)
+        last = turn == STAR_ROUNDS or (known or turn > 0) and (confirm_blocks is not None or _n_across(still) <= 2 * n)
         if last and confirm_blocks is not None:
             links = links.unionByName(materialize(confirm_blocks(_blocks(still.where(F.col("crowd") > CROWD))), "links"))
             still = still.where(F.col("crowd") <= CROWD)
-        pairs = _across(still, percent) if last else _star(still, used, percent, turn < sole)
+        pairs = _across(still, percent) if last else _star(still, used, percent)
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both if tested is None else tested.unionByName(both)

@@ -32,6 +32,21 @@ def test_a_group_of_near_copies_is_not_compared_by_all_its_buckets(spark, monkey
     assert set(got.values()) == {0} and n <= 3 * 150
 
 
+def members(monkeypatch, *runs):
+    """Members of all shared buckets in each of the runs."""
+    made, build = [], media.shared_buckets
+    monkeypatch.setattr(media, "shared_buckets", lambda *a: (out := build(*a), made.append(out.count()))[0])
+    return [(made.clear(), run(), sum(made))[2] for run in runs]
+
+
+def test_near_copies_and_strangers_share_few_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(25)
+    songs = codes_of(spark, rng.standard_normal((500, 64)))
+    copies = [flipped(rng, songs[0], 0.02) for _ in range(150)]
+    near, strange = members(monkeypatch, lambda: candidates(spark, monkeypatch, copies), lambda: candidates(spark, monkeypatch, songs))
+    assert near <= 40 * 150 and strange <= 75
+
+
 def test_noisy_copies_of_short_recordings_are_found(spark, monkeypatch):
     rng = np.random.default_rng(23)
     songs = codes_of(spark, rng.standard_normal((60, 64)))
